@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.mixing import mix_sources, shares
+from ledgerloom.llm.packing import pack
 from ledgerloom.llm.spans import shared_amounts
 from ledgerloom.llm.splitting import split_texts
+from ledgerloom.llm.tokens import with_tokens
 from ledgerloom.session import first_by_id, table
 
 
@@ -20,6 +23,28 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(chunks).select("chunk_id", "boundary", "piece_no", "start", F.length("piece").alias("length"), "piece")
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text (or piece of an oversized one) with its container of 4,096 tokens."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pack(with_tokens(docs).select("doc_id", "tokens"), "doc_id", "tokens", 4096)
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers by fill: how many hold how many tokens."""
+    held = p8_containers(spark, sf).groupBy("container").agg(F.sum("tokens").alias("fill"))
+    return held.groupBy("fill").agg(F.count("*").alias("containers"))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that is used with its number of copies."""
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_target"), "doc_id", "text", "source")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted and reached shares per source."""
+    return shares(p9_mixture(spark, sf), table(spark, sf, "mix_target"), "doc_id")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_amounts(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -33,5 +58,5 @@ fits AS (SELECT chunk_id,
   list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) <= 900 AS w FROM c)
 SELECT chunk_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN s THEN 'sentence' WHEN w THEN 'word' ELSE 'none' END AS boundary FROM fits
 """
-QUERIES = {"p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
 SQL = {"p4_found": _P4}
