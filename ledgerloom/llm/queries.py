@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.addresses import premises, same_premises
 from ledgerloom.llm.mixing import mix_sources, shares
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.spans import shared_amounts
@@ -13,6 +14,15 @@ from ledgerloom.llm.tokens import with_tokens
 from ledgerloom.session import first_by_id, table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_premises(table(spark, sf, "vendor"), "id", "address").toDF("vendor_id_a", "vendor_id_b")
+
+
+def p2_premises(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vendor with its premises."""
+    return premises(table(spark, sf, "vendor"), "id", "address")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     chunks = first_by_id(table(spark, sf, "chunk"), "chunk_id", "text")
     return split_texts(chunks).filter("boundary is not null and piece_no = 0").select("chunk_id", "boundary")
@@ -58,5 +68,5 @@ fits AS (SELECT chunk_id,
   list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) <= 900 AS w FROM c)
 SELECT chunk_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN s THEN 'sentence' WHEN w THEN 'word' ELSE 'none' END AS boundary FROM fits
 """
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
 SQL = {"p4_found": _P4}
