@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.addresses import premises, same_premises
 from ledgerloom.llm.mixing import mix_sources, shares
+from ledgerloom.llm.names import resolve, same_entity
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.spans import shared_amounts
 from ledgerloom.llm.splitting import split_texts
@@ -33,6 +34,21 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(chunks).select("chunk_id", "boundary", "piece_no", "start", F.length("piece").alias("length"), "piece")
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [("vendor", "canonical_name"), ("vendor_alias", "alias_name"), ("possible_match", "candidate_name")]
+    out = [table(spark, sf, t).select("id", "organization_id", F.col(c).alias("name")).distinct() for t, c in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entity(_names(spark, sf), "id", "organization_id", "name").toDF("record_id_a", "record_id_b")
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every named record with its entity."""
+    return resolve(_names(spark, sf), "id", "organization_id", "name")
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every text (or piece of an oversized one) with its container of 4,096 tokens."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -68,5 +84,5 @@ fits AS (SELECT chunk_id,
   list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) <= 900 AS w FROM c)
 SELECT chunk_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN s THEN 'sentence' WHEN w THEN 'word' ELSE 'none' END AS boundary FROM fits
 """
-QUERIES = {"p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
 SQL = {"p4_found": _P4}
