@@ -136,9 +136,9 @@ def changepoints(count: np.ndarray, total: np.ndarray, squares: np.ndarray, pena
     return starts[::-1]
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """``each`` over every group in key order within hash partitions. Far cheaper than a pandas call
-    per group where groups are many and small; a group must fit in memory."""
+def by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str, least: int = 1) -> DataFrame:
+    """``each`` over every group of ``least`` rows or more, in key order within hash partitions. Far cheaper
+    than a pandas call per group where groups are many and small; a group must fit in memory."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,11 +153,12 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[t
                 v = pdf[k].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
             starts = np.flatnonzero(new)
-            out = [r for a, b in zip(starts[:-1], starts[1:]) for r in each(tuple(pdf.loc[a, keys]), pdf.iloc[a:b])]
+            large = np.flatnonzero(np.diff(starts) >= least)
+            out = [r for g in large for r in each(tuple(pdf[k].iat[starts[g]] for k in keys), pdf.iloc[starts[g] : starts[g + 1]])]
             held = pdf.iloc[starts[-1] :]
             yield pd.DataFrame(out, columns=names)
-        if held is not None and len(held):
-            yield pd.DataFrame(each(tuple(held.iloc[0][keys]), held), columns=names)
+        if held is not None and len(held) >= least:
+            yield pd.DataFrame(each(tuple(held[k].iat[0] for k in keys), held), columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
