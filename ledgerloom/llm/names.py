@@ -199,8 +199,6 @@ def resolve(records: DataFrame, id_col: str, scope_col: str, name_col: str, most
             yield pd.Series([sorted({d for p in [unpack(t)] for c in p["cores"] for d in deletions(sound(c), 1) | deletions(c, 2 if len(c) >= 8 else 1)}) for t in batch])
 
     def link(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        if len(pdf) < 2:
-            return []
         return [(m, members[0]) for members, _ in agglomerate([(e, unpack(p)) for e, p in zip(pdf.entity, pdf.profile)]) for m in members[1:]]
 
     def merge(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
@@ -214,7 +212,7 @@ def resolve(records: DataFrame, id_col: str, scope_col: str, name_col: str, most
     moves = named.select("id", "scope", "entity")
     for _ in range(most_rounds):
         blocks = now.withColumn("key", F.explode(spread("profile"))).withColumn("key", F.concat_ws("|", F.coalesce("scope", F.lit("")), "key"))
-        links = stage(by_group(blocks.select("key", "entity", "profile"), ["key"], [], link, "a string, b string").distinct())
+        links = stage(by_group(blocks.select("key", "entity", "profile"), ["key"], [], link, "a string, b string", least=2).distinct())
         if links.isEmpty():
             break
         labels = components(links, "a", "b")

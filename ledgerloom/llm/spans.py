@@ -201,7 +201,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
         return out
 
     pieces = asked.filter(F.exists("asked", lambda r: ~r.large)).mapInPandas(contexts, f"id {name}, anchor bigint, start int, whole boolean, piece string")
-    small = by_group(pieces, ["anchor"], [], compare, f"id {name}, start int, end int")
+    small = by_group(pieces, ["anchor"], [], compare, f"id {name}, start int, end int", least=2)
     singles = asked.filter(F.exists("asked", lambda r: r.large)).mapInPandas(grams, f"id {name}, gram bigint, start int, whole boolean")
     singles = stage(singles)
     several = singles.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select("gram")
