@@ -42,6 +42,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even partitions ahead of work that costs far more than its bytes tell (Python on whole texts):
+    adaptive execution would otherwise merge small partitions into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_by_id(df: DataFrame, *columns: str) -> DataFrame:
     """One row per redelivered record: copies carry equal content, so DISTINCT on it suffices
     and hash-aggregates without a sort."""
