@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.addresses import premises, same_premises
 from ledgerloom.llm.mixing import mix_sources, shares
 from ledgerloom.llm.names import resolve, same_entity
+from ledgerloom.llm.ocr_text import repaired
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.spans import shared_amounts
 from ledgerloom.llm.splitting import split_texts
 from ledgerloom.llm.tokens import with_tokens
-from ledgerloom.session import first_by_id, table
+from ledgerloom.session import spread, table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,13 +25,29 @@ def p2_premises(spark: SparkSession, sf: str) -> DataFrame:
     return premises(table(spark, sf, "vendor"), "id", "address")
 
 
+def _scans(spark: SparkSession, sf: str) -> DataFrame:
+    regions = table(spark, sf, "page_region").select("id", F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), F.col("raw_ocr_output").alias("text"))
+    fields = table(spark, sf, "extracted_field").select("id", F.lit(None).cast("string").alias("doc"), F.lit(None).cast("int").alias("page"), F.col("original_text").alias("text"))
+    return regions.unionByName(fields)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    x = repaired(_scans(spark, sf)).select(F.col("id").alias("record_id"), F.inline("fixes"))
+    return x.distinct()
+
+
+def p3_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scanned text as repaired paragraphs."""
+    return repaired(_scans(spark, sf)).select("id", F.array_join("paragraphs", "\n\n").alias("text"), F.size("paragraphs").alias("paragraphs"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = first_by_id(table(spark, sf, "chunk"), "chunk_id", "text")
+    chunks = spread(table(spark, sf, "chunk").select("chunk_id", "text"), "chunk_id").distinct()
     return split_texts(chunks).filter("boundary is not null and piece_no = 0").select("chunk_id", "boundary")
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = first_by_id(table(spark, sf, "chunk"), "chunk_id", "text")
+    chunks = spread(table(spark, sf, "chunk").select("chunk_id", "text"), "chunk_id").distinct()
     return split_texts(chunks).select("chunk_id", "boundary", "piece_no", "start", F.length("piece").alias("length"), "piece")
 
 
@@ -84,5 +101,5 @@ fits AS (SELECT chunk_id,
   list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) <= 900 AS w FROM c)
 SELECT chunk_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN s THEN 'sentence' WHEN w THEN 'word' ELSE 'none' END AS boundary FROM fits
 """
-QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
 SQL = {"p4_found": _P4}
