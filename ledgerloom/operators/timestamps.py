@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import fence
+
 # Month names as printed by the feeds (English, German, French, Spanish).
 MONTHS = [
     "january jan januar janvier janv enero ene",
@@ -70,11 +72,6 @@ def _map(d: dict) -> Column:
     return F.expr("map(" + ", ".join(f"'{k}', {v!r}" for k, v in d.items()) + ")")
 
 
-def _fence(df: DataFrame, *columns: str) -> DataFrame:
-    """Keeps the optimiser from copying the expressions of ``columns`` into every filter above."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
-
-
 def _zones(df: DataFrame) -> DataFrame:
     """The zones the JVM knows, some 600 rows whatever the data: lower-cased name and name."""
     spark = df.sparkSession
@@ -99,7 +96,7 @@ def parse(df: DataFrame, raw: str, zone: str) -> DataFrame:
     for pattern, to in _REWRITES:
         s = F.regexp_replace(s, pattern, to)
     kept = df.columns
-    df = _fence(df.withColumn("_p", F.split(s, r"\|", 5)), *kept, "_p")
+    df = fence(df.withColumn("_p", F.split(s, r"\|", 5)), *kept, "_p")
     df = df.withColumn("_ok", F.col("_p")[0].startswith("#") & (F.size("_p") == 5))
     part = lambda i: F.when(F.col("_ok"), F.get("_p", F.lit(i)))
     df = df.withColumn("tag", F.substring(part(0), 2, 99)).withColumn("_r", F.split(F.regexp_replace(F.coalesce(part(4), F.lit("")), _REST, "@|$1|$2|$3|$4|$5"), r"\|"))
@@ -131,7 +128,7 @@ def parse(df: DataFrame, raw: str, zone: str) -> DataFrame:
     }
     readings = F.filter(F.array(*[F.struct(F.lit(f).alias("format"), day[f].alias("day")) for f in FORMATS]), lambda x: x.day.isNotNull())
     df = df.withColumn("readings", readings).withColumn("_epoch", F.when(tag.startswith("epoch"), a.try_cast("bigint")))
-    return _fence(df, *kept, "tag", "_tod", "_zt", "readings", "_epoch")
+    return fence(df, *kept, "tag", "_tod", "_zt", "readings", "_epoch")
 
 
 def fit_formats(histogram: DataFrame, rounds: int = 50, threshold: float = 0.95) -> DataFrame:
@@ -196,7 +193,7 @@ def normalise_timestamps(values: DataFrame, profiles: DataFrame, id_col: str, ra
     safe = F.coalesce("_zone", F.lit("UTC"))
     utc = F.unix_seconds(F.to_utc_timestamp(local, safe))
     back = lambda s: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(s), safe))
-    rows = _fence(rows.withColumn("_utc", utc), "id", "source", "zone", "tag", "_tod", "_epoch", "_unsure", "format", "posterior", "_local", "_offset", "_zone", "_utc")
+    rows = fence(rows.withColumn("_utc", utc), "id", "source", "zone", "tag", "_tod", "_epoch", "_unsure", "format", "posterior", "_local", "_offset", "_zone", "_utc")
     local, safe = F.timestamp_seconds("_local"), F.coalesce("_zone", F.lit("UTC"))
     u = F.col("_utc")
     gap, twice = back(u) != F.col("_local"), (back(u + 1800) == F.col("_local")) | (back(u + 3600) == F.col("_local")) | (back(u + 7200) == F.col("_local")) | (back(u - 3600) == F.col("_local"))
@@ -212,7 +209,7 @@ def normalise_timestamps(values: DataFrame, profiles: DataFrame, id_col: str, ra
         .when(twice, "repeated")
         .otherwise("resolved")
     )
-    rows = _fence(rows.withColumn("status", status), *rows.columns, "status")
+    rows = fence(rows.withColumn("status", status), *rows.columns, "status")
     instant = F.when(F.col("status") == "resolved", F.coalesce("_epoch", F.when(fixed, F.col("_local") - F.col("_offset") * 60).otherwise(u)))
     rows = rows.withColumn("utc_second", instant)
     # to_date of a shifted instant in whole days, free of the session's zone

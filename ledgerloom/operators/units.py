@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import fence, stage
+
 # Spellings of each unit code, without dots and in lower case.
 SPELLINGS = {
     "kg": "kg kgs kilo kilos kilogram kilograms kilogramme kilogrammes",
@@ -91,19 +93,23 @@ def with_unit(df: DataFrame, unit: str = "unit", description: str = "description
     told = r"(?:\buom\s*:?\s*|\bqty in\s+|\bsold by the\s+|\(in\s+|\bsold in\s+|\bper\s+)(\p{L}[\p{L}.³]*\d?)\s*[\])]?\s*$"
 
     def packed(text: Column, pattern: str) -> Column:
-        code = unit_of(F.regexp_extract(text, pattern, 3))
+        """The pattern's unit word and the product of its counts."""
         size = F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("double"), F.lit(1.0)) * F.regexp_extract(text, pattern, 2).try_cast("double")
-        return F.when(code.isNotNull() & (size > 0), F.struct(code.alias("code"), size.alias("size")))
+        return F.struct(F.regexp_extract(text, pattern, 3).alias("word"), size.alias("size"))
 
-    def plain(code: Column) -> Column:
-        return F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(1.0).alias("size")))
+    def plain(word: Column) -> Column:
+        return F.struct(word.alias("word"), F.lit(1.0).alias("size"))
 
     silent = F.trim(u).rlike(rf"^(?:(?:{PACKAGES})s?\.?)?$")
-    own = F.coalesce(plain(unit_of(u)), packed(u, named), packed(u, counted))
-    described = F.coalesce(plain(unit_of(F.regexp_extract(d, told, 1))), *[packed(d, p) for p in in_text])
-    found = F.when(silent, described).otherwise(own)
-    df = df.withColumn("_unit", found).withColumn("basis", F.when(F.col("_unit").isNull(), "none").when(silent, "description").otherwise("unit"))
-    return df.withColumn("unit_code", F.col("_unit.code")).withColumn("pack_size", F.col("_unit.size")).drop("_unit")
+    own = F.array(plain(u), packed(u, named), packed(u, counted))
+    described = F.array(plain(F.regexp_extract(d, told, 1)), *[packed(d, p) for p in in_text])
+    # the table of spellings stands once in the plan: the readings go through it one by one
+    read = F.transform(F.when(silent, described).otherwise(own), lambda r: F.struct(unit_of(r.word).alias("code"), r.size.alias("size")))
+    found = F.get(F.filter(read, lambda r: r.code.isNotNull() & (r.size > 0)), F.lit(0))
+    kept = df.columns
+    df = fence(df.withColumn("_unit", found).withColumn("_silent", silent), *[c for c in kept if c not in ("_unit", "_silent")], "_unit", "_silent")
+    df = df.withColumn("basis", F.when(F.col("_unit").isNull(), "none").when(F.col("_silent"), "description").otherwise("unit"))
+    return df.withColumn("unit_code", F.col("_unit.code")).withColumn("pack_size", F.col("_unit.size")).drop("_unit", "_silent")
 
 
 def money_of(c: Column) -> tuple[Column, Column]:
@@ -209,8 +215,9 @@ def normalise_units(lines: DataFrame, unit_ref: DataFrame, source: list[str], da
     x = x.withColumn("basis", F.when(F.col("factor").isNull(), "none").otherwise(F.col("basis"))).withColumn("stated", F.col("basis") != "none")
     x = x.withColumn("_day", F.unix_date(F.col(day).cast("date")))
     price = F.col(price_inr).cast("double") / F.coalesce("factor", F.lit(1.0))
+    x = stage(x)  # read by the history and by what follows, twice there
     records = x.filter((F.col(price_inr) > 0) & F.col("_day").isNotNull()).filter(" and ".join(f"{c} is not null" for c in source)).select(*source, "stated", "dimension", F.col("_day").alias("day"), F.log(price).alias("level"))
-    levels = history_levels(records, source, unit_ref)
+    levels = stage(history_levels(records, source, unit_ref))
     told = levels.filter("history_factor is not null").select(*[F.col(c).alias(f"_{c}") for c in source], F.col("stated").alias("_stated"), "first_day", "last_day", "log_shift", "history_factor", F.col("dimension").alias("_dimension"))
     on = [F.col(c) == F.col(f"_{c}") for c in source] + [F.col("stated") == F.col("_stated"), F.col("_day").between(F.col("first_day"), F.col("last_day"))]
     x = x.join(told, on, "left").drop(*[f"_{c}" for c in source], "_stated", "first_day", "last_day")

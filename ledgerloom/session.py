@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,11 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame, *columns: str) -> DataFrame:
+    """Keeps the optimiser from copying the expressions of ``columns`` into every filter and projection above."""
+    return df.select(F.inline(F.array(F.struct(*(columns or df.columns)))))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even partitions ahead of work that costs far more than its bytes tell (Python on whole texts):
     adaptive execution would otherwise merge small partitions into one task."""
