@@ -154,8 +154,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str,
     ranked = texts.join(classes.select("member", "cap", "place", before.alias("before")), ["member", "cap", "place"]).withColumn("rank", rank)
     step = lambda k: F.floor(k * F.col("rate") + 0.5)
     used = stage(ranked.withColumn("copies", (step(F.col("rank")) - step(F.col("rank") - 1)).cast("int")).filter("copies > 0").select("id", "source", "guess", "tokens", "rate", "copies"))
-    whole = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("_sum"))
-    whole = whole.crossJoin(whole.agg(F.sum("_sum").alias("_all"))).select("source", (F.col("_sum") / F.col("_all")).alias("actual_share"))  # one row per source by one row
+    reached = used.agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).first().n or 1
+    whole = used.groupBy("source").agg((F.sum(F.col("tokens") * F.col("copies")) / F.lit(reached)).alias("actual_share"))
     wanted = targets.select("source", F.col("target_share").cast("double").alias("target_share"))
     return used.join(whole, used.source.eqNullSafe(whole.source)).drop(whole.source).join(wanted, "source", "left").withColumnRenamed("id", id_col)
 

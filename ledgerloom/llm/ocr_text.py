@@ -67,17 +67,21 @@ def skeleton(word: str) -> str:
 def furniture(lines: list[str], bare_numbers: bool, offset: int | None, page: int | None, repeated: frozenset[str] = frozenset()) -> set[int]:
     """Numbers of the lines that are running headers or footers or page numbers."""
     out = set()
-    for k, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            continue
-        if _PAGE.match(s) or _REFERENCE.match(s) or _TITLED.match(s) or header_key(s) in repeated:
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    for k in full:
+        s = lines[k].strip()
+        if _PAGE.match(s) or _REFERENCE.match(s) or _TITLED.match(s) or (k in (full[0], full[-1]) and edge_line(s) and header_key(s) in repeated):
             out.add(k)
         elif bare_numbers and s.isdigit() and len(s) <= 4 and offset is not None and page is not None and int(s) - page == offset:
             out.add(k)
     return out
 
 
+def edge_line(s: str) -> bool:
+    """Whether a line at a page's edge may be a running one: a few words, no sentence's end, no table."""
+    return 2 <= len(s.split()) <= 10 and not s.startswith("|") and s[-1] not in ".;:,!?"
+
+
 def header_key(line: str) -> str:
     """What a running line has in common on all pages: its letters and figures but the page number."""
     s = re.sub(r"^\d{1,4}\s*\|\s*|\s{2,}\d{1,4}$", "", line.strip())
@@ -203,7 +207,8 @@ def decode(tk: list[tuple[int, str, bool]], lex: Lexicon) -> list[tuple[int, lis
                     r = lex.read(f)
                     if r:
                         offer(j + 2, base + r[1] + 0.4 * (j - i), r[0])
-            if broken and wordlike(forms[0]):
+            # a word nobody knows may be broken in two, but is not made of several
+            if broken and wordlike(forms[0]) and sum(w not in HYPHENS for _, w, _ in tk[i : j + 2]) == 2:
                 offer(j + 2, base + 2.8, forms[0])
             joined, j = stem + nxt, j + 1
     out, j = [], n
@@ -277,11 +282,12 @@ def learn_lexicon(records: DataFrame, least_share: float = 5e-5) -> dict[str, in
                     x = core(w).lower()
                     if not broken and plain_word(x) and len(x) <= 40:
                         c[x] += 1
-            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+            yield pd.DataFrame(list(c.items()), columns=["word", "n"])
 
     words = records.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n").alias("total"))
-    frequent = words.crossJoin(F.broadcast(total)).filter(F.col("n") >= least_share * F.col("total"))  # one row broadcast
+    words = stage(words)
+    total = words.agg(F.sum("n").alias("total")).first().total or 0
+    frequent = words.filter(F.col("n") >= least_share * total)
     counts = {r.word: r.n for r in frequent.select("word", "n").collect()}
     top: dict[str, int] = {}
     for w, k in counts.items():
@@ -301,7 +307,7 @@ def learn_lexicon(records: DataFrame, least_share: float = 5e-5) -> dict[str, in
                     for part in (a, b):
                         if part in counts and m > 3 * counts[part]:
                             c[part] += 1
-            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+            yield pd.DataFrame(list(c.items()), columns=["word", "n"])
 
     parts = records.select("text").mapInPandas(fragments, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     drop = {r.word for r in parts if r.n * 2 >= counts[r.word]}
@@ -320,9 +326,9 @@ def page_clues(records: DataFrame) -> DataFrame:
                     s = x.strip()
                     if s.isdigit() and len(s) <= 4 and k == len(lines) - 1:
                         out.append((doc, page, int(s) - int(page), None))
-                    elif k in (0, len(lines) - 1) and 2 <= len(s.split()) <= 10 and not s.startswith("|"):
+                    elif k in (0, len(lines) - 1) and edge_line(s):
                         out.append((doc, page, None, header_key(x)))
-            yield pd.DataFrame(out, columns=["doc", "page", "off", "running"]).astype({"off": "Int64"})
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(("doc", "page", "off", "running"))})
 
     rows = records.filter("doc is not null and page is not null").select("doc", "page", "text").mapInPandas(clues, "doc string, page int, off int, running string")
     offs = rows.filter("off is not null").groupBy("doc", "off").agg(F.countDistinct("page").alias("n")).groupBy("doc").agg(F.max_by("off", F.struct("n", -F.abs("off"), "off")).alias("offset"))
