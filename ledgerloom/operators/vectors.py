@@ -25,6 +25,12 @@ def sparse_embedding(df: DataFrame, id_col: str, text: str, size: int = 128) ->
     return x.join(norm, id_col).select(id_col, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def dense_embedding(sparse: DataFrame, id_col: str, size: int = 128) -> DataFrame:
+    """id and array<double>: one row per id, the weights set in their places (an id has at most ``size`` buckets)."""
+    m = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
 def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int = 10, block: int = 1024, batch: int = 16384) -> DataFrame:
     """query, id, score, place: the k nearest rows by cosine for each query, itself left out.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as tx
-from ledgerloom.operators import graph, matching, records, regions, vectors
+from ledgerloom.operators import extraction, graph, matching, records, regions, vectors
 from ledgerloom.operators.records import money
 from ledgerloom.session import table
 from ledgerloom.sources.sinks import markdown
@@ -102,6 +103,29 @@ def printed_amounts(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("id", money(tx.normalize_amount(F.col("raw_value"))).alias("amount"), money(F.col("field_value").try_cast("decimal(18,2)")).alias("stored"))
 
 
+def extracted_values(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.same_region(_fields(spark, sf).filter("original_text is not null"), "document_id", ["page_number", "id"], "original_text")
+
+
+def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest chunks by hashed embedding for the query set of chunks (one in fifty by hash of id)."""
+    x = table(spark, sf, "chunk").select("chunk_id", "text").distinct()
+    dense = vectors.dense_embedding(vectors.sparse_embedding(x, "chunk_id", "text"), "chunk_id")
+    chosen = F.conv(F.substring(F.md5("chunk_id"), 1, 4), 16, 10).cast("int") % 50 == 0
+    return vectors.search(dense.filter(chosen), dense, "chunk_id", "embedding", 5)
+
+
+def latest_invoices(spark: SparkSession, sf: str) -> DataFrame:
+    """The 100 latest invoices of each organisation in a period, undated ones left out."""
+    x = _inv(spark, sf).filter(F.col("invoice_date").between(F.lit(PERIOD_A[0]).cast("date"), F.lit(PERIOD_B[1]).cast("date")))
+    w = Window.partitionBy("organization_id").orderBy(F.desc("invoice_date"), "id")
+    return x.withColumn("place", F.row_number().over(w)).filter("place <= 100").select("organization_id", "id", "invoice_date", "place")
+
+
+def unresolved_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _links(spark, sf).filter("upper(status) = 'UNRESOLVED'").groupBy("organization_id", "link_type").agg(F.count("*").alias("links"))
+
+
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
     return x.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start_second"), "event_type", "n", "value")
@@ -153,6 +177,12 @@ QUERIES = {
     "document_types": lambda s, d: regions.document_types(_regions(s, d), DOCUMENT_RULES),
     "visual_rows": lambda s, d: regions.merge_rows(_regions(s, d)),
     "document_markdown": lambda s, d: markdown(_regions(s, d)).select("doc_id", F.length("markdown").alias("length"), F.md5("markdown").alias("md5")),
+    "extracted_values": extracted_values,
+    "text_identifiers": lambda s, d: extraction.identifiers(_regions(s, d), "doc_id", "raw_ocr_output"),
+    "plain_table_rows": lambda s, d: extraction.plain_rows(_regions(s, d), "doc_id", "raw_ocr_output"),
+    "chunk_search": chunk_search,
+    "latest_invoices": latest_invoices,
+    "unresolved_links": unresolved_links,
     "event_windows": event_windows,
 }
 
@@ -229,5 +259,9 @@ SQL = {
     "document_types": _sql("reg", "SELECT doc_id, INVOICE, PURCHASE_ORDER, STATEMENT, TERMS, CASE WHEN greatest(INVOICE, PURCHASE_ORDER, STATEMENT, TERMS) = 0 THEN 'UNKNOWN' WHEN INVOICE = greatest(INVOICE, PURCHASE_ORDER, STATEMENT, TERMS) THEN 'INVOICE' WHEN PURCHASE_ORDER = greatest(PURCHASE_ORDER, STATEMENT, TERMS) THEN 'PURCHASE_ORDER' WHEN STATEMENT >= TERMS THEN 'STATEMENT' ELSE 'TERMS' END AS document_type FROM s", "s AS (SELECT doc_id, " + ", ".join(f"sum(CASE WHEN regexp_matches(raw_ocr_output, '(?i){p}') THEN CASE WHEN page_number = 1 THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS {k}" for k, p in DOCUMENT_RULES.items()) + " FROM reg GROUP BY ALL)"),
     "document_markdown": _sql("reg", "SELECT doc_id, length(m) AS length, md5(m) AS md5 FROM (SELECT doc_id, string_agg(m, E'\\n\\n' ORDER BY page_number) AS m FROM (SELECT doc_id, page_number, '<!-- Page ' || page_number || E' -->\\n\\n' || string_agg(CASE WHEN region_type = 'title' THEN '# ' || t WHEN region_type IN ('header', 'footer') THEN '*' || t || '*' WHEN region_type = 'list' THEN regexp_replace(t, '(?m)^', '- ', 'g') ELSE t END, E'\\n\\n' ORDER BY reading_order, id) AS m FROM (SELECT *, trim(raw_ocr_output) AS t FROM reg) WHERE t <> '' GROUP BY doc_id, page_number) GROUP BY doc_id)"),
     "printed_amounts": _sql("fld", "SELECT id, CASE WHEN european THEN try_cast(replace(replace(n, '.', ''), ',', '.') AS DECIMAL(18, 2)) ELSE try_cast(replace(n, ',', '') AS DECIMAL(18, 2)) END::DOUBLE AS amount, try_cast(field_value AS DECIMAL(18, 2))::DOUBLE AS stored FROM (SELECT *, contains(n, ',') AND ((contains(n, '.') AND strpos(reverse(n), ',') < strpos(reverse(n), '.')) OR (NOT contains(n, '.') AND regexp_full_match(n, '-?[0-9]+,[0-9]{1,2}'))) AS european FROM (SELECT id, field_value, regexp_replace(regexp_extract(lower(raw_value), '(-?[0-9][0-9.,]*)', 1), '[.,]+$', '') AS n FROM fld WHERE field_name = 'total_amount'))"),
+    "extracted_values": _sql("fld", "SELECT document_id, field, arg_min(value, row(page_number, id)) AS value, arg_min(id, row(page_number, id)) AS id FROM (SELECT document_id, page_number, id, unnest([" + ", ".join(f"{{'field': '{f}', 'value': nullif(regexp_replace(regexp_extract(original_text, '(?i)\\b{a}[ \\t]*[:.]?[ \\t]*\\n?[ \\t]*{b}', 1), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'), '')}}" for f, (a, b) in extraction.FIELDS.items()) + "], recursive := true) FROM fld WHERE original_text IS NOT NULL) WHERE value IS NOT NULL GROUP BY ALL"),
+    "chunk_search": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL), e AS (SELECT chunk_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM b), s AS (SELECT q.chunk_id AS query, x.chunk_id AS id, sum(q.w * x.w) AS s FROM e q JOIN e x ON q.bucket = x.bucket AND q.chunk_id <> x.chunk_id WHERE ('0x' || substr(md5(q.chunk_id), 1, 4))::INT % 50 = 0 GROUP BY ALL) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 5",
+    "latest_invoices": _sql("inv", f"SELECT organization_id, id, invoice_date, place FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY invoice_date DESC, id) AS place FROM inv WHERE invoice_date BETWEEN '{PERIOD_A[0]}' AND '{PERIOD_B[1]}') WHERE place <= 100"),
+    "unresolved_links": _sql("lnk", "SELECT organization_id, link_type, count(*) AS links FROM lnk WHERE upper(status) = 'UNRESOLVED' GROUP BY ALL"),
     "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_second, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
 }
