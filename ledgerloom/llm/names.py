@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.addresses import deletions, osa, plain
 from ledgerloom.llm.components import components
 from ledgerloom.operators.units import by_group
-from ledgerloom.session import stage
+from ledgerloom.session import spread, stage
 
 # Words of business names and their short forms.
 TRADES = {
@@ -191,7 +191,7 @@ def resolve(records: DataFrame, id_col: str, scope_col: str, name_col: str, most
             yield pd.Series([None if (p := profile(n)) is None else pack(start(p)) for n in batch])
 
     recs = records.select(F.col(id_col).alias("id"), F.col(scope_col).alias("scope"), F.col(name_col).alias("name")).filter("id is not null and name is not null").distinct()
-    names = recs.select("name").distinct().withColumn("profile", F.pandas_udf(parsed, "string")("name")).filter("profile is not null")
+    names = spread(recs.select("name"), "name").distinct().withColumn("profile", F.pandas_udf(parsed, "string")("name")).filter("profile is not null")
     named = stage(recs.join(names, "name").select("id", "scope", F.md5(F.concat_ws("|", F.coalesce("scope", F.lit("")), "profile")).alias("entity"), "profile"))
 
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -207,12 +207,17 @@ def resolve(records: DataFrame, id_col: str, scope_col: str, name_col: str, most
             out += [(m, min(members), pack(p)) for m in members]
         return out
 
-    spread = F.pandas_udf(keys, "array<string>")
-    now = stage(named.select("scope", "entity", "profile").distinct())
+    expand = F.pandas_udf(keys, "array<string>")
+    now = stage(spread(named.select("scope", "entity", "profile"), "entity").distinct().withColumn("fresh", F.lit(True)))
     moves = named.select("id", "scope", "entity")
     for _ in range(most_rounds):
-        blocks = now.withColumn("key", F.explode(spread("profile"))).withColumn("key", F.concat_ws("|", F.coalesce("scope", F.lit("")), "key"))
-        links = stage(by_group(blocks.select("key", "entity", "profile"), ["key"], [], link, "a string, b string", least=2).distinct())
+        # narrow rows first: only keys that several profiles share, one of them new, go on to be matched,
+        # and of keys shared by the very same profiles only one
+        keyed = stage(now.select("entity", "fresh", "scope", F.explode(expand("profile")).alias("key")).select("entity", "fresh", F.xxhash64("scope", "key").alias("key")))
+        groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("entity")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "entity")).alias("y"), F.bool_or("fresh").alias("fresh"))
+        groups = groups.filter("n > 1 and fresh").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+        blocks = keyed.join(groups, "key").select("key", "entity").join(now.select("entity", "scope", "profile"), "entity")
+        links = stage(by_group(blocks.select("key", "scope", "entity", "profile"), ["key", "scope"], [], link, "a string, b string", least=2).distinct())
         if links.isEmpty():
             break
         labels = components(links, "a", "b")
@@ -221,8 +226,8 @@ def resolve(records: DataFrame, id_col: str, scope_col: str, name_col: str, most
         if merged.filter("entity <> new").isEmpty():
             break
         moves = stage(moves.join(merged.select("entity", "new"), "entity", "left").select("id", "scope", F.coalesce("new", "entity").alias("entity")))
-        changed = now.join(merged, "entity", "left").select("scope", F.coalesce("new", "entity").alias("entity"), F.coalesce("united", "profile").alias("profile"))
-        now = stage(changed.distinct())
+        changed = now.drop("fresh").join(merged, "entity", "left").select("scope", F.coalesce("new", "entity").alias("entity"), F.coalesce("united", "profile").alias("profile"), (F.col("united") != F.col("profile")).alias("other"))
+        now = stage(changed.groupBy("scope", "entity", "profile").agg(F.coalesce(F.bool_or("other"), F.lit(False)).alias("fresh")))
     return moves.select(F.col("id").alias(id_col), F.col("scope").alias(scope_col), "entity").distinct()
 
 
