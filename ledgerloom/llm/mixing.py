@@ -146,7 +146,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str,
 
     rated = cells.select("member", "cap").mapInPandas(rates, "member array<int>, cap int, rate double")
     # systematic rounding along the order of sizes: equal rates, texts in narrow classes of size and hash buckets within
-    place = F.struct(F.floor(F.log2(F.col("tokens") + 1) * 8).alias("size"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+    parts = max(64, texts.count() // 1_000_000)
+    place = F.struct(F.floor(F.log2(F.col("tokens") + 1) * 8).alias("size"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
     texts = texts.join(rated, ["member", "cap"]).withColumn("place", place)
     classes = texts.groupBy("member", "cap", "place").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("member", "cap").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -64,13 +64,16 @@ def plan_containers(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
     return slots, made
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 4096, buckets: int = 64) -> DataFrame:
-    """id, piece_no, token_start, tokens, container. ``items``: one row per document with its size."""
+def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 4096, bucket_rows: int = 1_000_000) -> DataFrame:
+    """id, piece_no, token_start, tokens, container. ``items``: one row per document with its size.
+    A length is ranked in buckets of about ``bucket_rows`` pieces at most, 64 at least."""
     x = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size")).filter("size is not null")
     pieces = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / capacity).cast("bigint")))
     x = x.select("id", "size", F.explode(pieces).alias("piece_no"))
     x = x.withColumn("token_start", F.col("piece_no") * capacity).withColumn("tokens", F.least(F.lit(capacity), F.col("size") - F.col("token_start")).cast("int"))
-    x = stage(x.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.lit(buckets)).cast("int")).drop("size"))
+    x = stage(x.drop("size"))
+    buckets = max(64, x.count() // bucket_rows)
+    x = x.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.lit(buckets)).cast("int"))
 
     by_bucket = x.groupBy("tokens", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -153,8 +153,8 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
     kind = docs.schema["id"].dataType
     name = kind.simpleString()
     found = stage(phrase_table(docs, span, k))
-    known = found.groupBy("anchor", "context").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    anchors = known.groupBy("anchor").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_n"), F.bool_or(F.col("lo") == F.col("hi")).alias("_open"))
+    known = found.groupBy("anchor", "context").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    anchors = known.groupBy("anchor").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.sum(F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(1)).alias("_n"), F.bool_or(F.col("lo") == F.col("hi")).alias("_open"))
     anchors = anchors.filter("_lo < _hi")
     keyed = known.join(anchors, "anchor").select("anchor", "context", "lo", (F.col("lo") < F.col("hi")).alias("whole"), "_open", (F.col("_n") > group_limit).alias("large"))
     hits = stage(found.join(keyed, ["anchor", "context"]))
