@@ -13,11 +13,13 @@ OPEN = ("unpaid", "pending", "partially_paid")
 DELIVERY = ("ingested_at", "seq")
 
 
-def records(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table with one row per record: redelivered copies are folded, their first delivery is kept."""
+def records(spark: SparkSession, sf: str, name: str, columns: str) -> DataFrame:
+    """organization_id, id and the named columns of a table, one row per record: redelivered copies, which
+    are equal but for their delivery, are folded and keep their first. Only these columns are read."""
+    wanted = ["organization_id", "id", *[c for c in columns.split() if c not in DELIVERY]]
+    delivery = [c for c in columns.split() if c in DELIVERY]
     df = table(spark, sf, name)
-    simple = [c for c in df.columns if c not in DELIVERY]
-    return df.groupBy(*simple).agg(*[F.min(c).alias(c) for c in DELIVERY if c in df.columns])
+    return df.groupBy(*wanted).agg(*[F.min(c).alias(c) for c in delivery]) if delivery else df.select(*wanted).distinct()
 
 
 def money(c: Column) -> Column:

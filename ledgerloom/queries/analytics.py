@@ -15,46 +15,48 @@ from ledgerloom.sources.sinks import markdown
 AS_OF = "2026-06-30"
 PERIOD_A, PERIOD_B = ("2025-01-01", "2025-03-31"), ("2025-04-01", "2025-06-30")
 DOCUMENT_RULES = {"INVOICE": "invoice", "PURCHASE_ORDER": "purchase order", "STATEMENT": "statement", "TERMS": "terms|conditions"}
+SPEND, LINK_I, LINK_O = "vendor_id invoice_date total_amount", "vendor_id po_number total_amount", "vendor_id po_number total_amount ingested_at"
 LABELS = "(?i)^[a-z ]+:?$"
 
 
 def _get(name: str):
-    return lambda spark, sf: records.records(spark, sf, name)
+    return lambda spark, sf, columns="": records.records(spark, sf, name, columns)
 
 
 _inv, _lines, _po, _links, _vendors, _aliases, _fields = (_get(n) for n in ("invoice", "invoice_line", "purchase_order", "document_link", "vendor", "vendor_alias", "extracted_field"))
 
 
-def _regions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "page_region").drop("polygon", "ingested_at").distinct()
+def _regions(spark: SparkSession, sf: str, columns: str) -> DataFrame:
+    """Regions without redelivered copies; unlike the records they have no tenant."""
+    return table(spark, sf, "page_region").select("doc_id", "id", *columns.split()).distinct()
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return graph.build(_vendors(spark, sf), _inv(spark, sf), _po(spark, sf), _links(spark, sf))
+    return graph.build(_vendors(spark, sf, "tax_id bank_account"), _inv(spark, sf, "vendor_id"), _po(spark, sf, "vendor_id"), _links(spark, sf, "link_type source_id target_id"))
 
 
 def invoice_overview(spark: SparkSession, sf: str) -> DataFrame:
     """Each invoice with counts and sums of what hangs on it: children are aggregated before they are joined."""
-    lines = _lines(spark, sf).groupBy("organization_id", F.col("invoice_id").alias("id")).agg(F.count("*").alias("lines"), money(F.sum("total")).alias("line_total"))
-    links = _links(spark, sf).filter("source_type = 'INVOICE'").groupBy("organization_id", F.col("source_id").alias("id")).agg(F.count("*").alias("links"))
-    fields = _fields(spark, sf).groupBy("organization_id", "document_id").agg(F.count("*").alias("fields"))
-    x = _inv(spark, sf).select("organization_id", "id", "document_id").join(lines, ["organization_id", "id"], "left").join(links, ["organization_id", "id"], "left").join(fields, ["organization_id", "document_id"], "left")
+    lines = _lines(spark, sf, "invoice_id total").groupBy("organization_id", F.col("invoice_id").alias("id")).agg(F.count("*").alias("lines"), money(F.sum("total")).alias("line_total"))
+    links = _links(spark, sf, "source_type source_id").filter("source_type = 'INVOICE'").groupBy("organization_id", F.col("source_id").alias("id")).agg(F.count("*").alias("links"))
+    fields = _fields(spark, sf, "document_id").groupBy("organization_id", "document_id").agg(F.count("*").alias("fields"))
+    x = _inv(spark, sf, "document_id").join(lines, ["organization_id", "id"], "left").join(links, ["organization_id", "id"], "left").join(fields, ["organization_id", "document_id"], "left")
     return x.select("organization_id", "id", F.coalesce("lines", F.lit(0)).alias("lines"), "line_total", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("fields", F.lit(0)).alias("fields"))
 
 
 def vendor_overview(spark: SparkSession, sf: str) -> DataFrame:
-    inv = _inv(spark, sf).groupBy("organization_id", F.col("vendor_id").alias("id")).agg(F.count("*").alias("invoices"))
-    po = _po(spark, sf).groupBy("organization_id", F.col("vendor_id").alias("id")).agg(F.count("*").alias("orders"))
-    al = _aliases(spark, sf).groupBy("organization_id", F.col("vendor_id").alias("id")).agg(F.count("*").alias("aliases"))
-    x = _vendors(spark, sf).select("organization_id", "id")
+    inv = _inv(spark, sf, "vendor_id").groupBy("organization_id", F.col("vendor_id").alias("id")).agg(F.count("*").alias("invoices"))
+    po = _po(spark, sf, "vendor_id").groupBy("organization_id", F.col("vendor_id").alias("id")).agg(F.count("*").alias("orders"))
+    al = _aliases(spark, sf, "vendor_id").groupBy("organization_id", F.col("vendor_id").alias("id")).agg(F.count("*").alias("aliases"))
+    x = _vendors(spark, sf)
     for part in (inv, po, al):
         x = x.join(part, ["organization_id", "id"], "left")
     return x.fillna(0, ["invoices", "orders", "aliases"])
 
 
 def invoices_without_lines(spark: SparkSession, sf: str) -> DataFrame:
-    held = _lines(spark, sf).select("organization_id", F.col("invoice_id").alias("id"))
-    return _inv(spark, sf).select("organization_id", "id").join(held, ["organization_id", "id"], "left_anti")
+    held = _lines(spark, sf, "invoice_id").select("organization_id", F.col("invoice_id").alias("id"))
+    return _inv(spark, sf).join(held, ["organization_id", "id"], "left_anti")
 
 
 def organizations(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +65,8 @@ def organizations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def payments_per_invoice(spark: SparkSession, sf: str) -> DataFrame:
-    x = _links(spark, sf).filter("link_type = 'PAYMENT_TO_INVOICE' and target_id is not null").groupBy("organization_id", F.col("target_id").alias("id")).agg(F.countDistinct("source_id").alias("payments"))
-    return _inv(spark, sf).select("organization_id", "id").join(x, ["organization_id", "id"])
+    x = _links(spark, sf, "link_type source_id target_id").filter("link_type = 'PAYMENT_TO_INVOICE' and target_id is not null").groupBy("organization_id", F.col("target_id").alias("id")).agg(F.countDistinct("source_id").alias("payments"))
+    return _inv(spark, sf).join(x, ["organization_id", "id"])
 
 
 def ego_network(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,25 +88,25 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_likeness(spark: SparkSession, sf: str) -> DataFrame:
-    x = _inv(spark, sf).filter("vendor_name_raw is not null").join(_vendors(spark, sf).select("organization_id", F.col("id").alias("vendor_id"), "canonical_name"), ["organization_id", "vendor_id"])
+    x = _inv(spark, sf, "vendor_id vendor_name_raw").filter("vendor_name_raw is not null").join(_vendors(spark, sf, "canonical_name").select("organization_id", F.col("id").alias("vendor_id"), "canonical_name"), ["organization_id", "vendor_id"])
     return x.select("organization_id", "id", F.round(tx.token_set_similarity(F.col("vendor_name_raw"), F.col("canonical_name")), 6).alias("score"))
 
 
 def order_line_matches(spark: SparkSession, sf: str) -> DataFrame:
-    linked = records.link_orders(_inv(spark, sf), _po(spark, sf)).filter("po_id is not null").select("organization_id", "invoice_id", "po_id")
-    a = _lines(spark, sf).join(linked, ["organization_id", "invoice_id"]).select("organization_id", "invoice_id", "id", "product_code", "description")
-    b = _po(spark, sf).select("organization_id", F.col("id").alias("po_id"), F.explode("line_items").alias("x")).join(linked, ["organization_id", "po_id"])
+    linked = records.link_orders(_inv(spark, sf, LINK_I), _po(spark, sf, LINK_O)).filter("po_id is not null").select("organization_id", "invoice_id", "po_id")
+    a = _lines(spark, sf, "invoice_id product_code description").join(linked, ["organization_id", "invoice_id"]).select("organization_id", "invoice_id", "id", "product_code", "description")
+    b = _po(spark, sf, "line_items").select("organization_id", F.col("id").alias("po_id"), F.explode("line_items").alias("x")).join(linked, ["organization_id", "po_id"])
     b = b.select("organization_id", "invoice_id", F.concat_ws("#", "po_id", F.col("x.line_number").cast("string")).alias("id"), F.col("x.product_code").alias("product_code"), F.col("x.description").alias("description"))
     return matching.match_lines(a, b, ["organization_id", "invoice_id"])
 
 
 def printed_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    x = _fields(spark, sf).filter("field_name = 'total_amount'")
+    x = _fields(spark, sf, "field_name raw_value field_value").filter("field_name = 'total_amount'")
     return x.select("id", money(tx.normalize_amount(F.col("raw_value"))).alias("amount"), money(F.col("field_value").try_cast("decimal(18,2)")).alias("stored"))
 
 
 def extracted_values(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.same_region(_fields(spark, sf).filter("original_text is not null"), "document_id", ["page_number", "id"], "original_text")
+    return extraction.same_region(_fields(spark, sf, "document_id page_number original_text").filter("original_text is not null"), "document_id", ["page_number", "id"], "original_text")
 
 
 def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,13 +119,13 @@ def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def latest_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """The 100 latest invoices of each organisation in a period, undated ones left out."""
-    x = _inv(spark, sf).filter(F.col("invoice_date").between(F.lit(PERIOD_A[0]).cast("date"), F.lit(PERIOD_B[1]).cast("date")))
+    x = _inv(spark, sf, "invoice_date").filter(F.col("invoice_date").between(F.lit(PERIOD_A[0]).cast("date"), F.lit(PERIOD_B[1]).cast("date")))
     w = Window.partitionBy("organization_id").orderBy(F.desc("invoice_date"), "id")
     return x.withColumn("place", F.row_number().over(w)).filter("place <= 100").select("organization_id", "id", "invoice_date", "place")
 
 
 def unresolved_links(spark: SparkSession, sf: str) -> DataFrame:
-    return _links(spark, sf).filter("upper(status) = 'UNRESOLVED'").groupBy("organization_id", "link_type").agg(F.count("*").alias("links"))
+    return _links(spark, sf, "link_type status").filter("upper(status) = 'UNRESOLVED'").groupBy("organization_id", "link_type").agg(F.count("*").alias("links"))
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,33 +134,33 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "vendor_total_spend": lambda s, d: records.vendor_spend(_inv(s, d)),
-    "monthly_vendor_spend": lambda s, d: records.monthly_spend(_inv(s, d)),
-    "spend_trend": lambda s, d: records.spend_trend(_inv(s, d)),
-    "top_vendors": lambda s, d: records.top_vendors(_inv(s, d)),
-    "unpaid_invoices": lambda s, d: records.open_invoices(_inv(s, d)),
-    "overdue_invoices": lambda s, d: records.overdue_invoices(_inv(s, d), AS_OF),
-    "invoice_by_number": lambda s, d: records.first_by_number(_inv(s, d)),
-    "compare_vendor_spend": lambda s, d: records.compare_spend(_inv(s, d), PERIOD_A, PERIOD_B),
-    "dashboard": lambda s, d: records.dashboard(_inv(s, d), _po(s, d)),
+    "vendor_total_spend": lambda s, d: records.vendor_spend(_inv(s, d, "vendor_id total_amount")),
+    "monthly_vendor_spend": lambda s, d: records.monthly_spend(_inv(s, d, SPEND)),
+    "spend_trend": lambda s, d: records.spend_trend(_inv(s, d, SPEND)),
+    "top_vendors": lambda s, d: records.top_vendors(_inv(s, d, "vendor_id total_amount")),
+    "unpaid_invoices": lambda s, d: records.open_invoices(_inv(s, d, "vendor_id invoice_number vendor_name_raw vendor_name_normalized payment_status amount_due")),
+    "overdue_invoices": lambda s, d: records.overdue_invoices(_inv(s, d, "payment_status due_date total_amount"), AS_OF),
+    "invoice_by_number": lambda s, d: records.first_by_number(_inv(s, d, "invoice_number seq")),
+    "compare_vendor_spend": lambda s, d: records.compare_spend(_inv(s, d, SPEND), PERIOD_A, PERIOD_B),
+    "dashboard": lambda s, d: records.dashboard(_inv(s, d, "payment_status po_number total_amount amount_due"), _po(s, d)),
     "invoice_overview": invoice_overview,
     "vendor_overview": vendor_overview,
     "invoices_without_lines": invoices_without_lines,
     "organizations": organizations,
     "payments_per_invoice": payments_per_invoice,
-    "link_orders": lambda s, d: records.link_orders(_inv(s, d), _po(s, d)),
+    "link_orders": lambda s, d: records.link_orders(_inv(s, d, LINK_I), _po(s, d, LINK_O)),
     "latest_links": lambda s, d: records.latest_links(table(s, d, "document_link")),
-    "duplicate_invoices": lambda s, d: records.duplicate_invoices(_inv(s, d)),
-    "amount_outliers": lambda s, d: records.amount_outliers(_inv(s, d)),
-    "history_outliers": lambda s, d: records.history_outliers(_inv(s, d)),
-    "resolve_vendors_exact": lambda s, d: records.resolve_exact(_inv(s, d), _vendors(s, d), _aliases(s, d)),
-    "resolve_vendors_fuzzy": lambda s, d: matching.fuzzy_vendors(_inv(s, d).select("organization_id", F.col("vendor_name_normalized").alias("name")), _vendors(s, d)),
-    "spend_drivers": lambda s, d: records.drivers(_lines(s, d), _inv(s, d), "2025-03", "2025-04"),
-    "best_evidence": lambda s, d: records.best_evidence(_fields(s, d)),
+    "duplicate_invoices": lambda s, d: records.duplicate_invoices(_inv(s, d, "invoice_number vendor_id vendor_name_raw seq")),
+    "amount_outliers": lambda s, d: records.amount_outliers(_inv(s, d, "vendor_id total_amount")),
+    "history_outliers": lambda s, d: records.history_outliers(_inv(s, d, "vendor_id total_amount seq")),
+    "resolve_vendors_exact": lambda s, d: records.resolve_exact(_inv(s, d, "vendor_name_normalized"), _vendors(s, d, "normalized_name"), _aliases(s, d, "vendor_id normalized_alias")),
+    "resolve_vendors_fuzzy": lambda s, d: matching.fuzzy_vendors(_inv(s, d, "vendor_name_normalized").withColumnRenamed("vendor_name_normalized", "name"), _vendors(s, d, "normalized_name")),
+    "spend_drivers": lambda s, d: records.drivers(_lines(s, d, "invoice_id product_code quantity total"), _inv(s, d, "invoice_date"), "2025-03", "2025-04"),
+    "best_evidence": lambda s, d: records.best_evidence(_fields(s, d, "document_id field_name confidence")),
     "order_line_matches": order_line_matches,
     "name_likeness": name_likeness,
-    "normalized_vendors": lambda s, d: _vendors(s, d).select("organization_id", "id", tx.normalize_vendor(F.col("canonical_name")).alias("name")),
-    "tax_id_status": lambda s, d: _vendors(s, d).filter("tax_id is not null").select("organization_id", "id", tx.gstin_status(F.col("tax_id")).alias("status")),
+    "normalized_vendors": lambda s, d: _vendors(s, d, "canonical_name").select("organization_id", "id", tx.normalize_vendor(F.col("canonical_name")).alias("name")),
+    "tax_id_status": lambda s, d: _vendors(s, d, "tax_id").filter("tax_id is not null").select("organization_id", "id", tx.gstin_status(F.col("tax_id")).alias("status")),
     "printed_amounts": printed_amounts,
     "graph_stats": lambda s, d: graph.stats(*_graph(s, d)),
     "shared_bank_accounts": lambda s, d: graph.shared_entities(*_graph(s, d), "Vendor", "BankAccount"),
@@ -166,20 +168,20 @@ QUERIES = {
     "vendor_order_paths": vendor_order_paths,
     "text_embeddings": lambda s, d: vectors.sparse_embedding(table(s, d, "chunk").select("chunk_id", "text").distinct(), "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight")),
     "nearest_vectors": nearest_vectors,
-    "region_chunks": lambda s, d: vectors.region_chunks(_regions(s, d)),
-    "line_chunks": lambda s, d: vectors.line_chunks(_lines(s, d)),
-    "reading_order": lambda s, d: regions.reading_order(_regions(s, d)),
-    "near_duplicate_regions": lambda s, d: regions.near_duplicates(_regions(s, d)),
-    "label_values": lambda s, d: regions.label_values(_regions(s, d), LABELS),
-    "table_rows": lambda s, d: regions.table_rows(_regions(s, d)),
-    "page_texts": lambda s, d: regions.page_texts(_regions(s, d)),
-    "page_summary": lambda s, d: regions.page_summary(_regions(s, d)),
-    "document_types": lambda s, d: regions.document_types(_regions(s, d), DOCUMENT_RULES),
-    "visual_rows": lambda s, d: regions.merge_rows(_regions(s, d)),
-    "document_markdown": lambda s, d: markdown(_regions(s, d)).select("doc_id", F.length("markdown").alias("length"), F.md5("markdown").alias("md5")),
+    "region_chunks": lambda s, d: vectors.region_chunks(_regions(s, d, "page_number clean_content raw_ocr_output")),
+    "line_chunks": lambda s, d: vectors.line_chunks(_lines(s, d, "description quantity unit_price total")),
+    "reading_order": lambda s, d: regions.reading_order(_regions(s, d, "page_number reading_order bbox")),
+    "near_duplicate_regions": lambda s, d: regions.near_duplicates(_regions(s, d, "page_number region_type bbox confidence raw_ocr_output")),
+    "label_values": lambda s, d: regions.label_values(_regions(s, d, "page_number bbox raw_ocr_output"), LABELS),
+    "table_rows": lambda s, d: regions.table_rows(_regions(s, d, "raw_ocr_output")),
+    "page_texts": lambda s, d: regions.page_texts(_regions(s, d, "page_number reading_order raw_ocr_output")),
+    "page_summary": lambda s, d: regions.page_summary(_regions(s, d, "page_number processing_status confidence")),
+    "document_types": lambda s, d: regions.document_types(_regions(s, d, "page_number raw_ocr_output"), DOCUMENT_RULES),
+    "visual_rows": lambda s, d: regions.merge_rows(_regions(s, d, "page_number bbox")),
+    "document_markdown": lambda s, d: markdown(_regions(s, d, "page_number region_type reading_order raw_ocr_output")).select("doc_id", F.length("markdown").alias("length"), F.md5("markdown").alias("md5")),
     "extracted_values": extracted_values,
-    "text_identifiers": lambda s, d: extraction.identifiers(_regions(s, d), "doc_id", "raw_ocr_output"),
-    "plain_table_rows": lambda s, d: extraction.plain_rows(_regions(s, d), "doc_id", "raw_ocr_output"),
+    "text_identifiers": lambda s, d: extraction.identifiers(_regions(s, d, "raw_ocr_output"), "doc_id", "raw_ocr_output"),
+    "plain_table_rows": lambda s, d: extraction.plain_rows(_regions(s, d, "raw_ocr_output"), "doc_id", "raw_ocr_output"),
     "chunk_search": chunk_search,
     "latest_invoices": latest_invoices,
     "unresolved_links": unresolved_links,
