@@ -34,7 +34,8 @@ def same_region(regions: DataFrame, doc: str, order: list[str], text: str) -> Da
 def identifiers(regions: DataFrame, doc: str, text: str) -> DataFrame:
     """Every tax number, bank code and mail address in the text, once per document."""
     kinds = {"gstin": GSTIN, "ifsc": IFSC, "email": EMAIL}
-    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), 1), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in kinds.items()]))
+    named = lambda k: lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), 1), named(k)) for k, p in kinds.items()]))
     return regions.select(doc, F.inline(hits)).distinct()
 
 

@@ -52,16 +52,21 @@ def match_lines(a: DataFrame, b: DataFrame, scope: list[str], code: str = "produ
 def fuzzy_vendors(names: DataFrame, vendors: DataFrame, least: float = 0.88) -> DataFrame:
     """Best vendor for each name by the larger of token-set and token-sort likeness, within the organisation.
 
-    Blocks: a shared rare word or an equal first syllable with compatible length (a ratio of ``least``
-    cannot be reached outside the length bound); names and vendors are distinct texts first."""
+    A candidate shares the rarest word beginning (five letters) of the name or of the vendor. Token sets of
+    up to eight words that reach ``least`` always do; common words bring nobody together, so no group is
+    large, and nothing is capped. Names and vendors are distinct texts first."""
     n = names.filter("name is not null").select("organization_id", "name").distinct()
     v = vendors.filter("normalized_name is not null").groupBy("organization_id", F.col("normalized_name").alias("vname")).agg(F.min("id").alias("vendor_id"))
-    keys = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) > 2), lambda w: F.substring(w, 1, 5))))
+    keys = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(w, 1, 5))))
     a, b = n.withColumn("key", keys(F.col("name"))), v.withColumn("key", keys(F.col("vname")))
-    # words in more than one in fifty vendors of an organisation tell nothing apart; an exact name still meets by its other words
-    total = v.groupBy("organization_id").agg(F.count("*").alias("all"))
-    common = b.groupBy("organization_id", "key").agg(F.count("*").alias("n")).join(total, "organization_id").filter("n > 20 and n * 50 > all").select("organization_id", "key")
-    pairs = a.join(common, ["organization_id", "key"], "left_anti").join(b, ["organization_id", "key"]).select("organization_id", "name", "vname", "vendor_id").distinct()
+    often = a.select("organization_id", "key").unionByName(b.select("organization_id", "key")).groupBy("organization_id", "key").agg(F.count("*").alias("often"))
+
+    def rarest(x: DataFrame, text: str) -> DataFrame:
+        w = Window.partitionBy("organization_id", text).orderBy("often", "key")
+        return x.join(often, ["organization_id", "key"]).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "often")
+
+    meet = lambda x, y: x.join(y, ["organization_id", "key"]).select("organization_id", "name", "vname", "vendor_id")
+    pairs = meet(rarest(a, "name"), b).unionByName(meet(a, rarest(b, "vname"))).distinct()
     bound = 2.0 * F.least(F.length("name"), F.length("vname")) / (F.length("name") + F.length("vname"))
     scored = pairs.withColumn("set_score", token_set_similarity(F.col("name"), F.col("vname"))).filter((bound >= least) | (F.col("set_score") >= least))
     scored = scored.withColumn("score", F.round(F.greatest("set_score", token_sort_similarity(F.col("name"), F.col("vname"))), 4)).filter(F.col("score") >= least)

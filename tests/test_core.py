@@ -147,3 +147,44 @@ def test_plans(spark, small):
     done = run_plan(spark, small, [Step("a", "n", needs={"id": ("b", "id")}), Step("b", "m"), Step("c", "nothing"), Step("d", "n", needs={"id": ("c", "id")})], ops)
     assert done[0].data.count() == 3 and done[2].error and done[3].error
     assert all(r.error.startswith("cycle") for r in run_plan(spark, small, [Step("a", "n", needs={"id": ("b", "id")}), Step("b", "n", needs={"id": ("a", "id")})], ops))
+
+
+def test_fuzzy_vendors_meet_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    names = ["tata consultancy services", "consultancy services tata", "acme", "delta air lines", "acme industrial supplies", None, ""]
+    vendors = [("v1", "tata consultancy services"), ("v2", "delta electronics india"), ("v3", "acme industrial supply"), ("v4", None), ("v5", "acme")]
+    n = spark.createDataFrame([("o", x, 1) for x in names] + [("p", "acme", 1)], "organization_id string, name string, vendor_id int").drop("vendor_id")
+    v = spark.createDataFrame([("o", i, x) for i, x in vendors], "organization_id string, id string, normalized_name string")
+
+    def like(a, b):
+        x, y = set(a.split()), set(b.split())
+        key = lambda s: " ".join(sorted(s.split()))
+        tokens = 0 if not x & y else 0.7 + 0.3 * len(x & y) / max(len(x), len(y)) if x <= y or y <= x else len(x & y) / len(x | y)
+        return max(tokens, SequenceMatcher(None, key(a), key(b)).ratio())
+
+    truth = {}
+    for a in filter(None, names):
+        best = max(((like(a, b), i) for i, b in vendors if b), default=(0, ""))
+        if best[0] >= 0.88:
+            truth[a] = best[1]
+    got = {r.name: r.vendor_id for r in matching.fuzzy_vendors(n, v).collect()}
+    assert got == truth and len(truth) == 4
+
+
+def test_extraction(spark):
+    from ledgerloom.operators import extraction
+
+    rows = [("d", 1, "a", "Invoice No: INV-4491\nInvoice Date: 25/12/2025"), ("d", 2, "b", "Invoice No: INV-9\nTotal Amount: ₹45,000.00"), ("e", 1, "c", None), ("e", 2, "d", ""), ("f", 1, "g", "GSTIN 29ABCDE1234F1ZW mail x@y.example 29ABCDE1234F1ZW\nMS BUSH 12MM 5022.00 3.75 18832.50\n1 2 3")]
+    df = spark.createDataFrame(rows, "doc string, page int, id string, text string")
+    got = {(r.doc, r.field): (r.value, r.id) for r in extraction.same_region(df, "doc", ["page", "id"], "text").collect()}
+    assert got == {("d", "invoice_number"): ("INV-4491", "a"), ("d", "invoice_date"): ("25/12/2025", "a"), ("d", "total_amount"): ("₹45,000.00", "b")}
+    assert {(r.kind, r.value) for r in extraction.identifiers(df, "doc", "text").collect()} == {("gstin", "29ABCDE1234F1ZW"), ("email", "x@y.example")}
+    assert [(r.description, r.quantity, r.total) for r in extraction.plain_rows(df, "doc", "text").collect()] == [("MS BUSH 12MM", 5022.0, 18832.5)]
+
+
+def test_record_operators_on_empty_tables(spark):
+    inv = spark.createDataFrame([], "organization_id string, id string, vendor_id string, invoice_number string, vendor_name_raw string, vendor_name_normalized string, po_number string, payment_status string, invoice_date date, due_date date, total_amount decimal(15,2), amount_due decimal(15,2), seq long")
+    for f in (records.vendor_spend, records.monthly_spend, records.spend_trend, records.top_vendors, records.open_invoices, records.first_by_number, records.duplicate_invoices, records.amount_outliers, records.history_outliers):
+        assert f(inv).count() == 0
+    assert records.overdue_invoices(inv, "2025-01-01").count() == 0
