@@ -188,3 +188,12 @@ def test_record_operators_on_empty_tables(spark):
     for f in (records.vendor_spend, records.monthly_spend, records.spend_trend, records.top_vendors, records.open_invoices, records.first_by_number, records.duplicate_invoices, records.amount_outliers, records.history_outliers):
         assert f(inv).count() == 0
     assert records.overdue_invoices(inv, "2025-01-01").count() == 0
+
+
+def test_stages(spark):
+    from ledgerloom import session
+
+    session.clear_stages(spark)
+    a = session.stage(spark.range(5))
+    assert a.count() == 5 and session.stage(a.filter("id < 0")).count() == 0
+    assert session.clear_stages(spark) == 2 and session.clear_stages(spark) == 0
