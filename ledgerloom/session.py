@@ -46,6 +46,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs now: they go when the driver collects its garbage,
+    which an idle driver may put off until long after a following job has filled the disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Deletes the stages this process has written; call it when their results are stored. Returns how many."""
     done = 0
