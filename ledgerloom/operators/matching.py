@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import normalize_description, token_set_similarity, token_sort_similarity
+from ledgerloom.functions.text import normalize_description, token_set_similarity, token_sort_similarity, words
 from ledgerloom.operators.units import by_group
 
 
@@ -49,26 +50,61 @@ def match_lines(a: DataFrame, b: DataFrame, scope: list[str], code: str = "produ
     return by_code.unionByName(by_text).unionByName(by_group(left, scope, ["id"], each, schema, least=2))
 
 
-def fuzzy_vendors(names: DataFrame, vendors: DataFrame, least: float = 0.88) -> DataFrame:
+def fuzzy_vendors(names: DataFrame, vendors: DataFrame, least: float = 0.88, aliases: DataFrame | None = None) -> DataFrame:
     """Best vendor for each name by the larger of token-set and token-sort likeness, within the organisation.
 
-    A candidate shares the rarest word beginning (five letters) of the name or of the vendor. Token sets of
-    up to eight words that reach ``least`` always do; common words bring nobody together, so no group is
-    large, and nothing is capped. Names and vendors are distinct texts first."""
+    A name is compared with the texts of every vendor, its normalised name and its ``aliases``, behind two
+    complete filters; nothing is capped. Of two token sets that reach ``least`` one of the rarest words of one
+    is in the other. Two sorted texts that reach it leave over at most ``(1 - least)`` of their letters; cut
+    into more segments than that, one keeps at least one segment whole within the other, moved no further than
+    the letters left over allow. Names and vendors are distinct texts first."""
+    if not 0.8 <= least <= 1:
+        raise ValueError("least must lie between 0.8 and 1")
     n = names.filter("name is not null").select("organization_id", "name").distinct()
-    v = vendors.filter("normalized_name is not null").groupBy("organization_id", F.col("normalized_name").alias("vname")).agg(F.min("id").alias("vendor_id"))
-    keys = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(w, 1, 5))))
-    a, b = n.withColumn("key", keys(F.col("name"))), v.withColumn("key", keys(F.col("vname")))
-    often = a.select("organization_id", "key").unionByName(b.select("organization_id", "key")).groupBy("organization_id", "key").agg(F.count("*").alias("often"))
-
-    def rarest(x: DataFrame, text: str) -> DataFrame:
-        w = Window.partitionBy("organization_id", text).orderBy("often", "key")
-        return x.join(often, ["organization_id", "key"]).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "often")
-
-    meet = lambda x, y: x.join(y, ["organization_id", "key"]).select("organization_id", "name", "vname", "vendor_id")
-    pairs = meet(rarest(a, "name"), b).unionByName(meet(a, rarest(b, "vname"))).distinct()
-    bound = 2.0 * F.least(F.length("name"), F.length("vname")) / (F.length("name") + F.length("vname"))
-    scored = pairs.withColumn("set_score", token_set_similarity(F.col("name"), F.col("vname"))).filter((bound >= least) | (F.col("set_score") >= least))
-    scored = scored.withColumn("score", F.round(F.greatest("set_score", token_sort_similarity(F.col("name"), F.col("vname"))), 4)).filter(F.col("score") >= least)
-    w = Window.partitionBy("organization_id", "name").orderBy(F.desc("score"), "vname")
-    return scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("organization_id", "name", "vendor_id", "score")
+    v = vendors.filter("normalized_name is not null").select("organization_id", F.col("normalized_name").alias("vname"), F.lit(0).alias("alias"), F.col("id").alias("vendor_id"))
+    if aliases is not None:
+        known = aliases.join(vendors.select("organization_id", F.col("id").alias("vendor_id")), ["organization_id", "vendor_id"], "left_semi")
+        v = v.unionByName(known.filter("normalized_alias is not null").select("organization_id", F.col("normalized_alias").alias("vname"), F.lit(1).alias("alias"), "vendor_id"))
+    v = v.groupBy("organization_id", "vname").agg(F.min(F.struct("alias", "vendor_id")).alias("held"))
+    slack = 1 - least + 0.00005  # the score is rounded to four places
+    pairs = _word_pairs(n, v, slack).unionByName(_letter_pairs(n, v, slack)).distinct()
+    scored = pairs.withColumn("score", F.round(F.greatest(token_set_similarity(F.col("name"), F.col("vname")), token_sort_similarity(F.col("name"), F.col("vname"))), 4)).filter(F.col("score") >= least)
+    w = Window.partitionBy("organization_id", "name").orderBy(F.desc("score"), "held.alias", "vname")
+    return scored.join(v, ["organization_id", "vname"]).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("organization_id", "name", F.col("held.vendor_id").alias("vendor_id"), "score")
+
+
+def _word_pairs(n: DataFrame, v: DataFrame, slack: float) -> DataFrame:
+    """Pairs that can reach the token-set likeness: one of the ``slack * words + 1`` rarest words of either is in the other."""
+    x = n.select("organization_id", "name", F.size(words(F.col("name"))).alias("n"), F.explode(words(F.col("name"))).alias("word"))
+    y = v.select("organization_id", "vname", F.size(words(F.col("vname"))).alias("m"), F.explode(words(F.col("vname"))).alias("word"))
+    often = x.select("organization_id", "word").unionByName(y.select("organization_id", "word")).groupBy("organization_id", "word").agg(F.count("*").alias("often"))
+
+    def rarest(z: DataFrame, text: str, size: str) -> DataFrame:
+        w = Window.partitionBy("organization_id", text).orderBy("often", "word")
+        return z.join(often, ["organization_id", "word"]).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.floor(F.col(size) * slack) + 1).drop("rn", "often")
+
+    # a subset reaches 0.7 + 0.3 x the ratio of the sizes, other sets at most that ratio
+    ratio = F.least("n", "m") / F.greatest("n", "m")
+    reach = 0.7 + 0.3 * ratio >= 1 - slack
+    meet = lambda a, b: a.join(b, ["organization_id", "word"]).filter(reach).select("organization_id", "name", "vname")
+    return meet(rarest(x, "name", "n"), y).unionByName(meet(x, rarest(y, "vname", "m")))
+
+
+def _letter_pairs(n: DataFrame, v: DataFrame, slack: float) -> DataFrame:
+    """Pairs that can reach the token-sort likeness. Matching letters keep their order, so at most
+    ``slack`` x both lengths letters are left over; each spoils at most one segment."""
+    text = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")), " ")
+    share = 2 * slack / (1 - slack)  # letters left over for a letter of the vendor's text, with the longest partner
+    longest = math.ceil(1 / share)  # letters of a segment
+    x = n.select("organization_id", "name", text(F.col("name")).alias("s")).filter("s <> ''").withColumn("n", F.length("s"))
+    y = v.select("organization_id", "vname", text(F.col("vname")).alias("t")).filter("t <> ''").withColumn("m", F.length("t")).withColumn("k", (F.floor(F.col("m") * share + 1e-6) + 1).cast("int"))
+    cut = lambda i: F.floor(i * F.col("m") / F.col("k")).cast("int")
+    part = lambda s, at, size: F.struct(F.substr(s, at + 1, size).alias("part"), at.alias("at"))
+    y = y.select("organization_id", "vname", "t", "m", F.inline(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: part(F.col("t"), cut(i), cut(i + 1) - cut(i)))))
+    grams = lambda g: F.when(F.col("n") >= g, F.transform(F.sequence(F.lit(0), F.col("n") - g), lambda i: part(F.col("s"), i, F.lit(g)))).otherwise(F.array().cast("array<struct<part:string,at:int>>"))
+    x = x.select("organization_id", "name", "s", "n", F.inline(F.concat(*[grams(g) for g in range(1, longest + 1)]))).withColumnRenamed("at", "place")
+    over = F.floor((F.col("n") + F.col("m")) * slack + 1e-6).cast("int")
+    moved = F.col("place") - F.col("at")
+    met = x.join(y, ["organization_id", "part"]).filter(F.abs(moved) + F.abs(F.col("n") - F.col("m") - moved) <= over)
+    met = met.select("organization_id", "name", "vname", "s", "t", over.alias("over")).distinct()
+    return met.filter(F.call_function("levenshtein", "s", "t", "over") >= 0).select("organization_id", "name", "vname")

@@ -154,7 +154,7 @@ QUERIES = {
     "amount_outliers": lambda s, d: records.amount_outliers(_inv(s, d, "vendor_id total_amount")),
     "history_outliers": lambda s, d: records.history_outliers(_inv(s, d, "vendor_id total_amount seq")),
     "resolve_vendors_exact": lambda s, d: records.resolve_exact(_inv(s, d, "vendor_name_normalized"), _vendors(s, d, "normalized_name"), _aliases(s, d, "vendor_id normalized_alias")),
-    "resolve_vendors_fuzzy": lambda s, d: matching.fuzzy_vendors(_inv(s, d, "vendor_name_normalized").withColumnRenamed("vendor_name_normalized", "name"), _vendors(s, d, "normalized_name")),
+    "resolve_vendors_fuzzy": lambda s, d: matching.fuzzy_vendors(_inv(s, d, "vendor_name_normalized").withColumnRenamed("vendor_name_normalized", "name"), _vendors(s, d, "normalized_name"), aliases=_aliases(s, d, "vendor_id normalized_alias")),
     "spend_drivers": lambda s, d: records.drivers(_lines(s, d, "invoice_id product_code quantity total"), _inv(s, d, "invoice_date"), "2025-03", "2025-04"),
     "best_evidence": lambda s, d: records.best_evidence(_fields(s, d, "document_id field_name confidence")),
     "order_line_matches": order_line_matches,

@@ -172,6 +172,41 @@ def test_fuzzy_vendors_meet_brute_force(spark):
     assert got == truth and len(truth) == 4
 
 
+def test_fuzzy_vendors_with_typos_and_aliases(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    syllables = ["te", "ki", "je", "den", "gu", "su", "ne", "za", "lt", "mor", "a"]
+    name = lambda: " ".join(["".join(rng.choice(syllables) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 3))] + rng.choice([[], ["systems"], ["systems", "india"]]))
+
+    def typo(s):
+        for _ in range(rng.randint(1, 3)):
+            at = rng.choice([0, 1, 2, 3, rng.randrange(len(s) + 1)])
+            s = s[:at] + rng.choice(["", "x", "c"]) + s[at + rng.randint(0, 1) :]
+        return s
+
+    texts = [name() for _ in range(120)]
+    vendors = [(f"v{i:03d}", t) for i, t in enumerate(texts[:80])] + [("w1", "tecijeden systems"), ("w2", " ".join(f"w{i}" for i in range(17))), ("w3", "unlike any")]
+    aliases = [(f"v{i:03d}", t) for i, t in enumerate(texts[80:])] + [("w3", "old brand of it"), ("gone", "lost brand name")]
+    names = sorted({typo(t) for t in texts} | {name() for _ in range(60)} | {"tekijeden systems", " ".join(f"w{i}" for i in range(1, 18)), "old brnad of it", "lost brand name"} - {""})
+
+    def like(a, b):
+        x, y = set(a.split()), set(b.split())
+        key = lambda s: " ".join(sorted(s.split()))
+        tokens = 0 if not x & y else 0.7 + 0.3 * len(x & y) / max(len(x), len(y)) if x <= y or y <= x else len(x & y) / len(x | y)
+        return round(max(tokens, SequenceMatcher(None, key(a), key(b)).ratio()), 4)
+
+    truth = {}
+    for a in filter(str.strip, names):
+        best = min((-like(a, t), alias, t, i) for alias, rows in ((0, vendors), (1, aliases)) for i, t in rows if i != "gone")
+        if best[0] <= -0.88:
+            truth[a] = (best[3], -best[0])
+    df = lambda rows, c: spark.createDataFrame([("o", *r) for r in rows], f"organization_id string, {c}")
+    got = {r.name: (r.vendor_id, r.score) for r in matching.fuzzy_vendors(df([(a,) for a in names], "name string"), df(vendors, "id string, normalized_name string"), aliases=df(aliases, "vendor_id string, normalized_alias string")).collect()}
+    assert got == truth and got["tekijeden systems"][0] == "w1" and got["old brnad of it"][0] == "w3" and "lost brand name" not in got and len(got) > 60
+
+
 def test_extraction(spark):
     from ledgerloom.operators import extraction
 
