@@ -79,6 +79,15 @@ def token_sort_similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratio, "double")(a, b)
 
 
+def sequence_similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of the texts as they are; 0 where one is null."""
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else 0.0 for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")(a, b)
+
+
 def gstin_status(c: Column) -> Column:
     """ok, format, state or checksum: the first check of a 15-character tax number that fails; null for null."""
     alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"

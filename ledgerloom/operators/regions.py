@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.geometry import centre_distance, containment, iou
+from ledgerloom.functions.text import sequence_similarity
 from ledgerloom.operators.units import by_group
 
 PAGE = ["doc_id", "page_number"]
@@ -22,22 +23,31 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return x.select(*PAGE, "id", F.row_number().over(w).alias("place"))
 
 
-def near_duplicates(regions: DataFrame, least_iou: float = 0.65, least_containment: float = 0.7, near: float = 40.0) -> DataFrame:
-    """Pairs on one page with equal text near each other, or one text inside the other in overlapping boxes.
+def near_duplicates(regions: DataFrame, least_iou: float = 0.65, least_containment: float = 0.7, near: float = 40.0, least_table_iou: float = 0.85, least_likeness: float = 0.9) -> DataFrame:
+    """Pairs on one page with equal or like text near each other, or one text inside the other in overlapping
+    boxes; where one is a table, only equal texts in almost the same box.
 
     The pairs are joined on page and cell of a grid as wide as the search distance, so a page of many
-    regions is not paired with itself; the less confident of a pair (then the later) is suppressed."""
+    regions is not paired with itself; the less confident of a pair (then the later, of tables always the
+    later) is suppressed. Likeness is computed only for near pairs that no other rule names and whose lengths allow it."""
     text = F.trim(F.regexp_replace(F.regexp_replace(F.lower("raw_ocr_output"), r"[^a-z0-9\s]", ""), r"\s+", " "))
-    x = regions.filter("bbox is not null and region_type <> 'table'").withColumn("t", text).filter("t <> ''").select(*PAGE, "id", "bbox", "confidence", "t")
+    x = regions.filter("bbox is not null").withColumn("t", text).filter("t <> ''").select(*PAGE, "id", "bbox", "confidence", "t", F.coalesce(F.col("region_type") == "table", F.lit(False)).alias("tabular"))
     cell = lambda a, b: F.sequence(F.floor(a / 200), F.floor(b / 200))
     c = x.withColumn("cx", F.explode(cell(F.col("bbox.x1") - near, F.greatest(F.col("bbox.x2"), F.col("bbox.x1")) + near))).withColumn("cy", F.explode(cell(F.col("bbox.y1") - near, F.greatest(F.col("bbox.y2"), F.col("bbox.y1")) + near)))
     a, b = c.alias("a"), c.alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*PAGE, "cx", "cy")] + [F.col("a.id") < F.col("b.id")])
     same, inside = F.col("a.t") == F.col("b.t"), F.col("a.t").contains(F.col("b.t")) | F.col("b.t").contains(F.col("a.t"))
     A, B = F.col("a.bbox"), F.col("b.bbox")
-    rule = F.when(same & ((centre_distance(A, B) <= near) | (iou(A, B) >= least_iou)), "exact_duplicate_with_spatial_proximity").when(inside & (containment(A, B) >= least_containment), "overlapping_substring")
-    kept_first = F.coalesce(F.col("a.confidence"), F.lit(0.0)) >= F.coalesce(F.col("b.confidence"), F.lit(0.0))
-    return pairs.select(F.col("a.doc_id").alias("doc_id"), F.when(kept_first, F.col("b.id")).otherwise(F.col("a.id")).alias("suppressed"), F.when(kept_first, F.col("a.id")).otherwise(F.col("b.id")).alias("kept"), rule.alias("rule")).filter("rule is not null").distinct()
+    tables = F.col("a.tabular") | F.col("b.tabular")
+    rule = F.when(tables, F.when(same & (iou(A, B) >= least_table_iou), "table_exact_duplicate_high_iou")).when(same & ((centre_distance(A, B) <= near) | (iou(A, B) >= least_iou)), "exact_duplicate_with_spatial_proximity").when(inside & (containment(A, B) >= least_containment), "overlapping_substring")
+    la, lb = F.length("a.t"), F.length("b.t")
+    close = (containment(A, B) >= least_containment) | (iou(A, B) >= least_iou) | (centre_distance(A, B) <= near)
+    open_ = ~tables & close & (2.0 * F.least(la, lb) >= least_likeness * (la + lb))
+    kept_first = tables | (F.coalesce(F.col("a.confidence"), F.lit(0.0)) >= F.coalesce(F.col("b.confidence"), F.lit(0.0)))
+    met = pairs.select(F.col("a.doc_id").alias("doc_id"), F.when(kept_first, F.col("b.id")).otherwise(F.col("a.id")).alias("suppressed"), F.when(kept_first, F.col("a.id")).otherwise(F.col("b.id")).alias("kept"), rule.alias("rule"), *[F.when(rule.isNull() & open_, F.col(f"{k}.t")).alias(f"{k}_t") for k in "ab"])
+    met = met.filter("rule is not null or a_t is not null").distinct()
+    like = F.when(sequence_similarity(F.col("a_t"), F.col("b_t")) >= least_likeness, "fuzzy_text_overlap")
+    return met.select("doc_id", "suppressed", "kept", F.coalesce("rule", like).alias("rule")).filter("rule is not null")
 
 
 def label_values(regions: DataFrame, labels: str, most: int = 40) -> DataFrame:

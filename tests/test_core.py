@@ -64,6 +64,19 @@ def test_regions(spark):
     assert "<!-- Page 3 -->" in sinks.markdown(r).first().markdown
 
 
+def test_near_duplicate_tables_and_like_texts(spark):
+    r = spark.createDataFrame(
+        [
+            ("d", "a1", 1, "table", 1, (0, 0, 400, 200), 0.5, "| Qty | Rate |"), ("d", "a2", 1, "table", 2, (2, 0, 402, 200), 0.9, "| qty | rate |"), ("d", "a3", 1, "text", 3, (0, 2, 400, 202), 0.9, "qty rate"),
+            ("d", "b1", 2, "table", 1, (0, 0, 400, 200), 0.9, "| Qty | Rate |"), ("d", "b2", 2, "table", 2, (0, 60, 400, 260), 0.9, "| Qty | Rate |"), ("d", "b3", 2, "table", 3, (0, 0, 400, 200), 0.9, "| Qty | Rote |"),
+            ("d", "c1", 3, "text", 1, (0, 0, 900, 40), 0.6, "Payment is due in thirty days"), ("d", "c2", 3, "text", 2, (0, 4, 900, 44), 0.8, "Payment is duo in thirty days"), ("d", "c3", 3, "text", 3, (0, 900, 900, 940), 0.9, "Payment is duo in thirty days"),
+            ("d", "c4", 3, "text", 4, (0, 2, 900, 42), 0.9, "Payment was made three months ago"),
+        ],
+        REGION,
+    )
+    assert {(x.suppressed, x.kept, x.rule) for x in regions.near_duplicates(r).collect()} == {("a2", "a1", "table_exact_duplicate_high_iou"), ("a3", "a1", "table_exact_duplicate_high_iou"), ("a3", "a2", "table_exact_duplicate_high_iou"), ("c1", "c2", "fuzzy_text_overlap")}
+
+
 def test_line_matching(spark):
     a = spark.createDataFrame([("s", "a1", "X", "bolt"), ("s", "a2", None, "Steel Nut M8"), ("s", "a3", None, "copper wire 2mm"), ("s", "a4", None, None)], "scope string, id string, product_code string, description string")
     b = spark.createDataFrame([("s", "b1", None, "copper wire 2 mm"), ("s", "b2", "X", "other"), ("s", "b3", None, "steel-nut m8")], "scope string, id string, product_code string, description string")
