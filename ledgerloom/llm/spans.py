@@ -181,10 +181,10 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
         holder: dict[str, object] = {}
         rows = list(zip(pdf.id, pdf.start, pdf.whole, pdf.piece))
         several = object()
-        for i, _, _, piece in rows:
+        for i, _, whole, piece in rows:
             for a in range(len(piece) - span + 1):
                 g = piece[a : a + span]
-                if holder.setdefault(g, i) != i:
+                if whole or holder.setdefault(g, i) != i:  # a whole phrase has other holders, who are not here
                     holder[g] = several
         out = []
         for i, start, whole, piece in rows:
@@ -204,7 +204,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
     small = by_group(pieces, ["anchor"], [], compare, f"id {name}, start int, end int", least=2)
     singles = asked.filter(F.exists("asked", lambda r: r.large)).mapInPandas(grams, f"id {name}, gram bigint, start int, whole boolean")
     singles = stage(singles)
-    several = singles.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select("gram")
+    several = singles.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.bool_or("whole").alias("_whole")).filter("_lo < _hi or _whole").select("gram")
     large = singles.filter("not whole").join(several, "gram").select("id", "start", (F.col("start") + F.lit(span)).alias("end"))
     return factors.unionByName(small).unionByName(large)
 

@@ -56,6 +56,26 @@ def test_shared_spans(spark, limit):
         assert shared_amounts(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_shared_spans_repeated_in_the_lowest_record(spark, limit):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ü\n") for _ in range(n))
+    docs = []
+    for n in range(20):  # the lower record of each pair repeats a part of the shared passage
+        passage = word(600)
+        a = rng.randint(0, 300)
+        docs += [(2 * n, passage + word(50) + passage[a : a + 210 + n] + word(50)), (2 * n + 1, word(50) + passage + word(50))]
+    seen = {}
+    for i, t in docs:
+        for a in range(len(t) - 199):
+            seen.setdefault(t[a : a + 200], set()).add(i)
+    truth = {i: {p for a in range(len(t) - 199) if len(seen[t[a : a + 200]]) > 1 for p in range(a, a + 200)} for i, t in docs}
+    got = {}
+    for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", group_limit=limit).collect():
+        got.setdefault(r.id, set()).update(range(r.start, r.end))
+    assert got == truth
+
+
 def test_pack(spark):
     rows = [(i, i % 7 * 100) for i in range(300)] + [(1000, 9000), (1001, 4096), (1002, 0), (1003, None)]
     got = pack(spark.createDataFrame(rows, "id long, size int"), "id", "size", 4096).collect()
