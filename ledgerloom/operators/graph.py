@@ -9,8 +9,9 @@ from ledgerloom.functions.text import bank_digits, normalize_tax_id
 from ledgerloom.session import stage
 
 
-def build(vendors: DataFrame, invoices: DataFrame, orders: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes(organization_id, id, label) and edges(organization_id, src, dst, relation), distinct."""
+def build(vendors: DataFrame, invoices: DataFrame, orders: DataFrame, links: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes(organization_id, id, label) and edges(organization_id, src, dst, relation), distinct; with
+    ``aliases`` also those of the vendors given."""
     node = lambda df, c, label: df.select("organization_id", F.col(c).alias("id"), F.lit(label).alias("label"))
     edge = lambda df, s, d, r: df.filter(F.col(s).isNotNull() & F.col(d).isNotNull()).select("organization_id", F.col(s).alias("src"), F.col(d).alias("dst"), F.lit(r).alias("relation"))
     v = vendors.withColumn("tax", F.concat(F.lit("tax_"), normalize_tax_id(F.col("tax_id")))).withColumn("bank", F.concat(F.lit("bank_"), bank_digits(F.col("bank_account"))))
@@ -19,6 +20,9 @@ def build(vendors: DataFrame, invoices: DataFrame, orders: DataFrame, links: Dat
     nodes = nodes.unionByName(node(v.filter("tax is not null"), "tax", "TaxIdentifier")).unionByName(node(v.filter("bank is not null"), "bank", "BankAccount"))
     edges = edge(v, "id", "tax", "HAS_TAX_ID").unionByName(edge(v, "id", "bank", "USES_BANK_ACCOUNT")).unionByName(edge(invoices, "vendor_id", "id", "ISSUED"))
     edges = edges.unionByName(edge(orders, "vendor_id", "id", "RECEIVED_PO")).unionByName(edge(linked, "source_id", "target_id", "REFERENCES_PO")).distinct()
+    if aliases is not None:
+        held = aliases.join(v.select("organization_id", F.col("id").alias("vendor_id")), ["organization_id", "vendor_id"], "left_semi")
+        nodes, edges = nodes.unionByName(node(held, "id", "VendorAlias")), edges.unionByName(edge(held, "vendor_id", "id", "HAS_ALIAS")).distinct()
     # ends without a record become plain entities
     ends = edges.select("organization_id", F.col("src").alias("id")).unionByName(edges.select("organization_id", F.col("dst").alias("id"))).distinct()
     missing = ends.join(nodes.select("organization_id", "id").distinct(), ["organization_id", "id"], "left_anti").withColumn("label", F.lit("Entity"))

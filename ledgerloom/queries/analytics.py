@@ -31,8 +31,9 @@ def _regions(spark: SparkSession, sf: str, columns: str) -> DataFrame:
     return table(spark, sf, "page_region").select("doc_id", "id", *columns.split()).distinct()
 
 
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return graph.build(_vendors(spark, sf, "tax_id bank_account"), _inv(spark, sf, "vendor_id"), _po(spark, sf, "vendor_id"), _links(spark, sf, "link_type source_id target_id"))
+def _graph(spark: SparkSession, sf: str, aliases: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The graph as the SQL has it, or with the aliases of the vendors."""
+    return graph.build(_vendors(spark, sf, "tax_id bank_account"), _inv(spark, sf, "vendor_id"), _po(spark, sf, "vendor_id"), _links(spark, sf, "link_type source_id target_id"), _aliases(spark, sf, "vendor_id") if aliases else None)
 
 
 def invoice_overview(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,6 +164,7 @@ QUERIES = {
     "tax_id_status": lambda s, d: _vendors(s, d, "tax_id").filter("tax_id is not null").select("organization_id", "id", tx.gstin_status(F.col("tax_id")).alias("status")),
     "printed_amounts": printed_amounts,
     "graph_stats": lambda s, d: graph.stats(*_graph(s, d)),
+    "graph_stats_with_aliases": lambda s, d: graph.stats(*_graph(s, d, aliases=True)),
     "shared_bank_accounts": lambda s, d: graph.shared_entities(*_graph(s, d), "Vendor", "BankAccount"),
     "ego_network": ego_network,
     "vendor_order_paths": vendor_order_paths,

@@ -44,6 +44,17 @@ def test_graph(spark):
     assert [(r.target_id, r.entities) for r in graph.shared_entities(n, e, "V", "Bank").collect()] == [("B", 2)]
 
 
+def test_graph_has_aliases(spark):
+    df = lambda rows, c: spark.createDataFrame(rows, "organization_id string, id string, " + c)
+    vendors, none = df([("o", "v", "GST 29X", None), ("p", "v", None, None)], "tax_id string, bank_account string"), df([], "vendor_id string")
+    links = df([], "link_type string, source_id string, target_id string")
+    aliases = df([("o", "a1", "v"), ("o", "a2", "v"), ("o", "a3", "gone"), ("o", "a4", None), ("o", "a1", "v")], "vendor_id string")
+    nodes, edges = graph.build(vendors, none, df([("o", "po", "v")], "vendor_id string"), links, aliases)
+    assert {tuple(r) for r in graph.stats(nodes, edges).collect()} == {("o", "Vendor", 1, "node"), ("p", "Vendor", 1, "node"), ("o", "TaxIdentifier", 1, "node"), ("o", "PurchaseOrder", 1, "node"), ("o", "VendorAlias", 2, "node"), ("o", "HAS_TAX_ID", 1, "edge"), ("o", "RECEIVED_PO", 1, "edge"), ("o", "HAS_ALIAS", 2, "edge")}
+    seeds = spark.createDataFrame([("o", "po")], "organization_id string, root string")
+    assert {r.node for r in graph.neighbourhood(edges, seeds, 2).filter("distance = 2").collect()} == {"tax_29X", "a1", "a2"}
+
+
 REGION = "doc_id string, id string, page_number int, region_type string, reading_order int, bbox struct<x1:int,y1:int,x2:int,y2:int>, confidence double, raw_ocr_output string"
 
 
