@@ -160,26 +160,30 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
     hits = stage(found.join(keyed, ["anchor", "context"]))
     factors = hits.filter("whole").select("id", "start", (F.col("start") + F.col("starts") + F.lit(span - 1)).alias("end"))
 
-    # boundaries: open phrases, and one holder of each whole phrase of the same anchor to compare with
-    ask = hits.filter("not whole or (_open and id = lo)").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "starts", "whole", "large")).alias("asked"))
+    # boundaries: open phrases, and one holder of each whole phrase of the same anchor to compare with; a phrase
+    # that a record repeats is one row with the list of its places
+    ask = hits.filter("not whole or (_open and id = lo)").groupBy("id", "anchor", "context", "starts", "whole", "large").agg(F.collect_list("start").alias("at"))
+    ask = ask.withColumn("at", F.when(F.col("whole"), F.slice("at", 1, 1)).otherwise(F.col("at")))
+    ask = ask.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "starts", "whole", "large")).alias("asked"))
     asked = ask.join(docs, "id")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, r["anchor"], r["start"], r["whole"], t[r["start"] : r["start"] + r["starts"] + span - 1]) for i, t, rs in zip(pdf.id, pdf.text, pdf.asked) for r in rs if not r["large"]]
-            yield pd.DataFrame(out, columns=["id", "anchor", "start", "whole", "piece"])
+            out = [(i, r["anchor"], r["at"], r["whole"], t[r["at"][0] : r["at"][0] + r["starts"] + span - 1]) for i, t, rs in zip(pdf.id, pdf.text, pdf.asked) for r in rs if not r["large"]]
+            yield pd.DataFrame(out, columns=["id", "anchor", "at", "whole", "piece"])
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, t, rs in zip(pdf.id, pdf.text, pdf.asked):
                 for r in rs:
                     if r["large"]:
-                        g = Hashes([t[r["start"] : r["start"] + r["starts"] + span - 1]]).grams(span)
-                        yield pd.DataFrame({"id": i, "gram": g.view(np.int64), "start": np.arange(r["start"], r["start"] + len(g), dtype=np.int32), "whole": r["whole"]})
+                        g = Hashes([t[r["at"][0] : r["at"][0] + r["starts"] + span - 1]]).grams(span)
+                        for start in r["at"]:
+                            yield pd.DataFrame({"id": i, "gram": g.view(np.int64), "start": np.arange(start, start + len(g), dtype=np.int32), "whole": r["whole"]})
 
     def compare(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
         holder: dict[str, object] = {}
-        rows = list(zip(pdf.id, pdf.start, pdf.whole, pdf.piece))
+        rows = list(zip(pdf.id, pdf["at"], pdf.whole, pdf.piece))
         several = object()
         for i, _, whole, piece in rows:
             for a in range(len(piece) - span + 1):
@@ -187,7 +191,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
                 if whole or holder.setdefault(g, i) != i:  # a whole phrase has other holders, who are not here
                     holder[g] = several
         out = []
-        for i, start, whole, piece in rows:
+        for i, at, whole, piece in rows:
             if whole:
                 continue
             begin = None
@@ -196,12 +200,13 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
                 if hit and begin is None:
                     begin = a
                 elif not hit and begin is not None:
-                    out.append((i, int(start + begin), int(start + a - 1 + span)))
+                    out.append((i, at, begin, a - 1 + span))
                     begin = None
         return out
 
-    pieces = asked.filter(F.exists("asked", lambda r: ~r.large)).mapInPandas(contexts, f"id {name}, anchor bigint, start int, whole boolean, piece string")
-    small = by_group(pieces, ["anchor"], [], compare, f"id {name}, start int, end int", least=2)
+    pieces = asked.filter(F.exists("asked", lambda r: ~r.large)).mapInPandas(contexts, f"id {name}, anchor bigint, at array<int>, whole boolean, piece string")
+    small = by_group(pieces, ["anchor"], [], compare, f"id {name}, at array<int>, begin int, finish int", least=2)
+    small = small.select("id", F.explode("at").alias("start"), "begin", "finish").select("id", (F.col("start") + F.col("begin")).alias("start"), (F.col("start") + F.col("finish")).alias("end"))
     singles = asked.filter(F.exists("asked", lambda r: r.large)).mapInPandas(grams, f"id {name}, gram bigint, start int, whole boolean")
     singles = stage(singles)
     several = singles.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.bool_or("whole").alias("_whole")).filter("_lo < _hi or _whole").select("gram")

@@ -76,6 +76,34 @@ def test_shared_spans_repeated_in_the_lowest_record(spark, limit):
     assert got == truth
 
 
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_shared_spans_of_periodic_texts(spark, limit, monkeypatch):
+    from ledgerloom.llm import spans
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ü\n") for _ in range(n))
+    tail = word(150)
+    docs = [(n, word(100) + c * 600 + tail + c * 300 + word(100)) for n, c in enumerate("zqkxvw")]
+    docs += [(n + 10, word(100) + c * 180 + tail + word(100)) for n, c in enumerate("zqkxvw")] + [(n + 20, word(100) + c * 250 + word(100)) for n, c in enumerate("zqk")]
+    seen = {}
+    for i, t in docs:
+        for a in range(len(t) - 199):
+            seen.setdefault(t[a : a + 200], set()).add(i)
+    truth = {i: hit for i, t in docs if (hit := {p for a in range(len(t) - 199) if len(seen[t[a : a + 200]]) > 1 for p in range(a, a + 200)})}
+    largest = []
+
+    def watched(df, keys, *more, **options):
+        largest.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        return by_group(df, keys, *more, **options)
+
+    by_group = spans.by_group
+    monkeypatch.setattr(spans, "by_group", watched)
+    got = {}
+    for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", group_limit=limit).collect():
+        got.setdefault(r.id, set()).update(range(r.start, r.end))
+    assert got == truth and max(largest) < 50
+
+
 def test_pack(spark):
     rows = [(i, i % 7 * 100) for i in range(300)] + [(1000, 9000), (1001, 4096), (1002, 0), (1003, None)]
     got = pack(spark.createDataFrame(rows, "id long, size int"), "id", "size", 4096).collect()
