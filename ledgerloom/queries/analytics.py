@@ -70,10 +70,10 @@ def payments_per_invoice(spark: SparkSession, sf: str) -> DataFrame:
     return _inv(spark, sf).join(x, ["organization_id", "id"])
 
 
-def ego_network(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes by distance within two steps of every order whose id ends in 0."""
+def ego_network(spark: SparkSession, sf: str, roots: str = "id like '%0'") -> DataFrame:
+    """Nodes by distance within two steps of the chosen orders: as in the SQL, those whose id ends in 0."""
     nodes, edges = _graph(spark, sf)
-    seeds = nodes.filter("label = 'PurchaseOrder' and id like '%0'").select("organization_id", F.col("id").alias("root"))
+    seeds = nodes.filter("label = 'PurchaseOrder'").filter(roots).select("organization_id", F.col("id").alias("root"))
     return graph.neighbourhood(edges, seeds, 2).groupBy("organization_id", "root", "distance").agg(F.count("*").alias("nodes"))
 
 
@@ -167,6 +167,7 @@ QUERIES = {
     "graph_stats_with_aliases": lambda s, d: graph.stats(*_graph(s, d, aliases=True)),
     "shared_bank_accounts": lambda s, d: graph.shared_entities(*_graph(s, d), "Vendor", "BankAccount"),
     "ego_network": ego_network,
+    "ego_network_all_orders": lambda s, d: ego_network(s, d, "true"),
     "vendor_order_paths": vendor_order_paths,
     "text_embeddings": lambda s, d: vectors.sparse_embedding(table(s, d, "chunk").select("chunk_id", "text").distinct(), "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight")),
     "nearest_vectors": nearest_vectors,

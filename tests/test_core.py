@@ -55,6 +55,15 @@ def test_graph_has_aliases(spark):
     assert {r.node for r in graph.neighbourhood(edges, seeds, 2).filter("distance = 2").collect()} == {"tax_29X", "a1", "a2"}
 
 
+def test_ego_networks_of_all_orders(spark, small):
+    from ledgerloom.queries import analytics
+
+    got = {(r.organization_id, r.root, r.distance): r.nodes for r in analytics.QUERIES["ego_network_all_orders"](spark, small).collect()}
+    orders = {(r.organization_id, r.id) for r in analytics._po(spark, small, "").collect()}
+    assert orders and {k[:2] for k in got} == orders
+    assert {(r.organization_id, r.root, r.distance): r.nodes for r in analytics.QUERIES["ego_network"](spark, small).collect()} == {k: n for k, n in got.items() if k[1].endswith("0")}
+
+
 REGION = "doc_id string, id string, page_number int, region_type string, reading_order int, bbox struct<x1:int,y1:int,x2:int,y2:int>, confidence double, raw_ocr_output string"
 
 
