@@ -42,8 +42,8 @@ def p3_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = spread(table(spark, sf, "chunk").select("chunk_id", "text"), "chunk_id").distinct()
-    return split_texts(chunks).filter("boundary is not null and piece_no = 0").select("chunk_id", "boundary")
+    chunks = table(spark, sf, "chunk").select("chunk_id", "text").filter("length(text) > 1000")
+    return split_texts(spread(chunks, "chunk_id").distinct()).filter("piece_no = 0").select("chunk_id", "boundary")
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
