@@ -126,21 +126,38 @@ def parse(address: str | None) -> dict | None:
 
 
 def osa(a: str, b: str, most: int = 2) -> int:
-    """Edit distance with adjacent transpositions, most + 1 if it is larger than ``most``."""
+    """Edit distance with adjacent transpositions, most + 1 if it is larger than ``most``; only the band of
+    cells that near the diagonal is filled, so long texts cost their length."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = [0] * (len(b) + 1), list(range(len(b) + 1))
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    n, far = len(b), most + 1
+    before, row = [far] * (n + 2), [min(j, far) for j in range(n + 1)] + [far]
     for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                row[j] = min(row[j], older[j - 2] + 1)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+        older, before, row = before, row, [far] * (n + 2)
+        if i <= most:
+            row[0] = i
+        least = row[0]
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
+            best = before[j - 1] + (x != y)
+            if before[j] < best:
+                best = before[j] + 1
+            if row[j - 1] < best:
+                best = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and older[j - 2] < best:
+                best = older[j - 2] + 1
+            row[j] = best
+            if best < least:
+                least = best
+        if least > most:
+            return far
+    return min(row[n], far)
 
 
 def deletions(word: str, most: int) -> set[str]:

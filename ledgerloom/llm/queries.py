@@ -57,13 +57,21 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def _labelled_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of names known to mean one entity: aliases of a known vendor and approved guesses."""
+    vendors = table(spark, sf, "vendor").select(F.col("id").alias("vendor_id"), F.col("canonical_name").alias("a")).distinct()
+    aliases = table(spark, sf, "vendor_alias").select("vendor_id", F.col("alias_name").alias("b"))
+    approved = table(spark, sf, "possible_match").filter("status = 'APPROVED'").select(F.col("matched_vendor_id").alias("vendor_id"), F.col("candidate_name").alias("b"))
+    return vendors.join(aliases.unionByName(approved), "vendor_id").select("a", "b")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return same_entity(_names(spark, sf), "id", "organization_id", "name").toDF("record_id_a", "record_id_b")
+    return same_entity(_names(spark, sf), "id", "organization_id", "name", _labelled_names(spark, sf)).toDF("record_id_a", "record_id_b")
 
 
 def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Every named record with its entity."""
-    return resolve(_names(spark, sf), "id", "organization_id", "name")
+    return resolve(_names(spark, sf), "id", "organization_id", "name", _labelled_names(spark, sf))
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
