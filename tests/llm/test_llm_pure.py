@@ -79,13 +79,36 @@ def test_addresses_parse_to_equal_parts():
     keys = ("number", "floor", "unit", "plot", "kind", "street", "post")
     assert len({tuple(p[k] for k in keys) for p in parts}) == 1 and parts[0]["number"] == "42d" and parts[0]["unit"] == "501"
     assert addresses.parse("Gonepekot-Allee Nr. 3, D-66954 Sanizast")["kind"] != addresses.parse("Gonepekot Weg 3, D-66954 Sanizast")["kind"]
+    french = addresses.parse("12 Rue de Rivoli, 75001 Paris")
+    assert (french["number"], french["kind"], french["street"], french["post"], french["places"]) == ("12", "rue", "rivoli", "75001", ["paris"])
+    assert addresses.parse("12 Martin Luther King Road, Bigtown")["street"] == "martin luther king" and addresses.parse("Bigtown 12 Sunlop Road")["street"] == "sunlop"
     assert all(addresses.parse(x) is None for x in (None, "", "-", "same as billing", "N/A", "x" * 50000))
 
 
 def test_blocks_link_slips_and_keep_post_codes_apart():
-    rows = [("kemotehuk", "907030", ["sizilartnagar"]), ("kemoteehuk", "907030", ["siziartnagar"]), ("kemotehuk", "", ["siilartnagar"]), ("kemotehuk", "907999", ["sizilartnagar"]), ("vogesulum", "907030", [])]
-    c = addresses.link_block(rows)
+    rows = [("kemotehuk", "907030", "sizilartnagar", ""), ("kemoteehuk", "907030", "siziartnagar", ""), ("kemotehuk", "", "siilartnagar", ""), ("kemotehuk", "907999", "sizilartnagar", ""), ("vogesulum", "907030", "", "")]
+    c = [k for k, _ in addresses.link_block([addresses.Address(*r) for r in rows])]
     assert c[0] == c[1] == c[2] and len({c[0], c[3], c[4]}) == 3
+    # the building decides between two post codes of one street and number
+    rows = [("sunlop", "500001", "bigtown", "building:bohudam"), ("sunlop", "500002", "bigtown", "building:kogefex"), ("sunlop", "", "bigtown", "building:kogefex"), ("sunlop", "", "", "")]
+    c = [k for k, _ in addresses.link_block([addresses.Address(*r) for r in rows])]
+    assert c[2] == c[1] != c[0] and len(set(c)) in (2, 3)
+
+
+def test_assignment_is_of_least_cost():
+    from itertools import permutations
+
+    rng = random.Random(8)
+    for _ in range(300):
+        n, m = rng.randint(1, 4), rng.randint(4, 5)
+        cost = [[rng.choice([0.0, 1.0, 2.0, 99.0]) for _ in range(m)] for _ in range(n)]
+        got = addresses.assign(cost)
+        assert len(set(got)) == n and sum(cost[i][j] for i, j in enumerate(got)) == min(sum(cost[i][p[i]] for i in range(n)) for p in permutations(range(m), n))
+    a = addresses.Address
+    near = addresses.link_cost(a("sunlop", "1", "bigtown", "building:x"), a("sunlop", "1", "bigtown", "building:x"))
+    assert near < addresses.link_cost(a("sunlop", "1", "bigtown", "building:bohudam"), a("sunlap", "1", "bigtown", "building:kogefex")) <= addresses.MOST
+    assert addresses.link_cost(a("sunlop", "", "bigtown", ""), a("sunlop", "", "", "")) > addresses.MOST  # no town in common
+    assert addresses.link_cost(a("martin luther", "1", "", ""), a("luther martn", "1", "", "")) <= addresses.MOST
 
 
 def test_edit_distance():

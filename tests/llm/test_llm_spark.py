@@ -158,6 +158,17 @@ def test_premises(spark):
     assert premises(df.limit(0), "id", "address").count() == 0
 
 
+def test_premises_of_a_town_with_several_prefixes(spark):
+    rows = [(f"t{p}{i}", f"{10 + i} Gatupol Road, Bigtown {p}00{i}, Midstate", 1) for p in (500, 501, 502) for i in range(1, 8)]
+    rows += [(f"s{p}{i}", f"{10 + i} Gatupol Road, {town} {p}00{i}, Midstate", 1) for p, town in ((510, "Rovatim"), (520, "Selukan"), (530, "Hitupor")) for i in range(1, 8)]
+    rows += [
+        ("a", "9 Sunlop Road, Bigtown 501001", 1), ("b", "9 Sunlop Road, Bigtown", 1), ("c", "No. 9 Sunlop Rd., Bigtwon", 1), ("d", "9 Sunlop Road, Rovatim", 1), ("e", "9 Sunlop Road", 1), ("f", "9 Sunlop Rd", 1),
+        ("g", "12 Rue de Rivoli, 75001 Paris", 1), ("h", "12, rue de Rivoli 75001 PARIS", 1), ("i", "12 Rue de Rivoly, Paris", 1),
+    ]
+    got = {tuple(r) for r in same_premises(spark.createDataFrame(rows, "id string, address string, block int"), "id", "address").collect()}
+    assert {p for p in got if p[0][0] not in "ts"} == {*combinations("abc", 2), ("e", "f"), *combinations("ghi", 2)}
+
+
 def test_entities(spark):
     from test_llm_pure import _labelled
 
