@@ -175,18 +175,40 @@ def test_long_names_have_few_keys_and_miss_nothing():
     assert len(names.keys_of(names.Reader({}).profile(long + " ltd"))) < 500
 
 
+SHAPES = ocr_text.with_slips({"4 year " + ocr_text.skeleton(w) for w in ("statement", "annex", "schedule")} | {"reference " + ocr_text.skeleton("confidential")})
+
+
 def test_scanned_words_are_repaired():
-    lex = ocr_text.Lexicon({w: 400 for w in "the primary site from responsible hardware cross-check freight requires document under clause of each order part-load a".split()})
+    lex = ocr_text.Lexicon({w: 400 for w in "the primary site from responsible hardware cross-check freight requires document under clause of each order part-load a shall be delivered".split()})
     text = "The prirnary s1te from the respons-\nVojedump duty statement 2026\nible hard ware\nreqiiires a cross-\ncheck unclcr clàuse 8 of\npart-load 0rder.\n- 4 -"
-    skip = ocr_text.furniture(text.split("\n"), False, None, None)
+    skip = ocr_text.furniture(text.split("\n"), False, None, None, shapes=SHAPES)
     assert skip == {1, 6}
     fixes, words = ocr_text.repair(text, lex, skip)
     assert fixes == [(0, "primary"), (0, "site"), (0, "responsible"), (2, "hardware"), (3, "requires"), (3, "cross-check"), (4, "under"), (4, "clause"), (5, "order")]
     assert ocr_text.paragraphs(text, words, skip) == ["The primary site from the responsible hardware requires a cross-check under clause 8 of part-load order."]
     assert ocr_text.repair("", lex, set()) == ([], []) and ocr_text.paragraphs("", [], set()) == []
+    # blanks in the wrong place, several words run together, a word in four parts
+    told = lambda t: [w for _, w in ocr_text.repair(t, lex, set())[0]]
+    assert told("under th edocument") == ["the", "document"] and told("thedocumentundertheclause") == "the document under the clause".split() and told("shallbedelivered") == ["shall", "be", "delivered"]
+    assert told("the re spon si ble order") == ["responsible"] and told("the responsibleord-\ner") == ["responsible", "order"] and told("the Bipovis order") == []
+    # a rare word that stands, and one that is read as another
+    assert [w for _, w in ocr_text.repair("freigbt of Zernblat", lex, set(), {"freigbt": "freigbt", "zernblat": "zemblat"})[0]] == ["zemblat"]
+
+
+def test_paragraphs_follow_their_widths():
+    lines = ["a" * 60 + ".", "b" * 58, "c" * 20 + ".", "D" * 59, "e" * 60, "f" * 30 + "."]
+    assert ocr_text.breaks(lines, set(), list(range(6))) == [False, False, True, False, False]
+    assert ocr_text.breaks(["One line.", "", "Two line."], set(), [0, 2]) == [True] and ocr_text.breaks(["x"], set(), [0]) == []
+    # a narrow column after a wide one is no run of short lines
+    narrow = ["W" * 80, "w" * 79, "w" * 30 + "."] + ["N" * 25, "n" * 24 + ".", "n" * 25, "n" * 9 + "."]
+    assert ocr_text.breaks(narrow, set(), list(range(7))) == [False, False, True, False, False, False]
 
 
 def test_page_furniture():
-    lines = ["Confidential TIHOSUR/377", "29 | Bipovis property annex 2025", "Page 3 of 9", "[3]", "— 18 —", "12", "7", "The goods 2025.", "budget 320", "1983.26", "Sozizes claim schedule 2024   15"]
-    assert ocr_text.furniture(lines, True, 5, 2) == {0, 1, 2, 3, 4, 6, 10}
-    assert 5 not in ocr_text.furniture(lines, False, None, None) and 6 not in ocr_text.furniture(lines, False, None, None)
+    lines = ["Confidential TIHOSUR/377", "29 | Bipovis property annex 2025", "Page 3 of 9", "[3]", "— 18 —", "12", "7", "The goods 2025.", "budget 320", "1983.26", "Sozizes claim schedule 2024   15", "Sozizes  claim  scbedule  2024"]
+    assert ocr_text.furniture(lines, True, 5, 2, shapes=SHAPES) == {0, 1, 2, 3, 4, 6, 10, 11}
+    assert {5, 6} & ocr_text.furniture(lines, False, None, None, shapes=SHAPES) == set()
+    # without recurrence no line goes by its looks
+    body = ["Payment due 2025", "Goods received in March 2025", "Fiscal year 2024", "16 Apr 2025"]
+    assert ocr_text.furniture(body, False, None, None, shapes=SHAPES) == ocr_text.furniture(body, False, None, None) == set()
+    assert ocr_text.furniture(body, False, None, None, frozenset({ocr_text.header_key("Fiscal year 2024")})) == {2}

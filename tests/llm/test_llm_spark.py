@@ -202,3 +202,15 @@ def test_scans(spark):
     assert [(f.line_no, f.fix) for f in got["r2"].fixes] == [(30, "freight"), (30, "primary"), (32, "")]
     assert [(f.line_no, f.fix) for f in got["r3"].fixes] == [(31, "")]
     assert repaired(df.limit(0)).count() == 0
+
+
+def test_running_lines_are_learned_and_rare_words_judged(spark):
+    body = "The primary freight requires the document under the clause.\n" * 40
+    name = lambda i: "".join("bdgklmnprstvz"[(i * 7 + k * 5) % 13] + "aeiou"[(i + k) % 5] for k in range(3)).title()
+    rows = [(f"d{i}p{p}", f"d{i}", p, f"{name(i)} duty annex 2025\n{body}") for i in range(5) for p in (1, 2)]
+    rows += [("one", "other", 1, f"Hutirem loading annex 2024\nPayment due 2025\n{body}Fiscal year 2024"), ("loose", None, None, "Goods received in March 2025\nHutirem loading aunex 2026")]
+    rows += [(f"r{i}", None, None, body + "The zemblatorium order.") for i in range(30)] + [("bad", None, None, body + "The zernblatorium order.")]
+    df = spark.createDataFrame(rows, "id string, doc string, page int, text string")
+    got = {r.id: [(f.line_no, f.fix) for f in r.fixes] for r in repaired(df, least_share=0.02).collect()}
+    assert got["d0p1"] == [(0, "")] and got["one"] == [(0, "")] and got["loose"] == [(1, "")]
+    assert got["bad"] == [(40, "zemblatorium")] and got["r0"] == []
