@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm import addresses, names, ocr_text
-from ledgerloom.llm.mixing import replay
+from ledgerloom.llm.mixing import memberships, next_step, replay
 from ledgerloom.llm.packing import plan_containers
 from ledgerloom.llm.spans import Hashes, phrases, window_min
 from ledgerloom.llm.splitting import cut
@@ -73,6 +73,29 @@ def test_rates_stay_within_caps():
     assert list(r) == [0.5, 1.0, 1.75]
 
 
+def test_rates_meet_labels_and_come_near_the_posteriors():
+    rng = np.random.default_rng(3)
+    n, k = 3000, 3
+    label = rng.integers(-1, k, n)
+    member = np.rint(rng.dirichlet([0.4] * k, n) * 64).astype(int)
+    member[:, 0] += 64 - member.sum(axis=1)
+    v, cap, tokens = memberships(label, member.tolist(), k), np.full(n, 2.0), rng.integers(1, 500, n).astype(float)
+    target, mass = np.array([0.5, 0.3, 0.2]), (v * tokens[:, None]).sum(axis=0)[:k]
+    total = 0.8 * (2 * mass / target).min()
+    goal = np.concatenate([target * total] * 2)
+
+    def fitted(soft: int) -> np.ndarray:
+        steps = [np.concatenate([-target * total / mass, np.zeros(k)]).tolist()]
+        for done in range(60):
+            r = replay(v, cap, steps)
+            off = (r * tokens) @ v - goal
+            steps.append(next_step(off, (v * tokens[:, None]).T @ v, (tokens * (r > 0)) @ v[:, :k], (tokens * (r < cap)) @ v[:, :k], done >= soft).tolist())
+        return ((replay(v, cap, steps) * tokens) @ v - goal) / total
+
+    with_soft, without = fitted(6), fitted(0)
+    assert np.abs(with_soft[:k]).max() < 1e-6 and np.abs(with_soft[k:]).max() < 0.5 * np.abs(without[k:]).max()
+
+
 def test_addresses_parse_to_equal_parts():
     same = ["Suite 501, Door No 42D, Taguvogant Marg, Kogefex Industrial Area, Vugodendabad, 867076, Feribul, Bharat", "STE#501 / 42D Taguvogant Mg. / Vugodendabad - 867 076", "Vugodendabad 867076\n#42D, Taguvogant Marg\nUnit 501\nOpp. Water Tank"]
     parts = [addresses.parse(a) for a in same]

@@ -148,6 +148,16 @@ def test_mixture(spark):
     assert mix_sources(df.limit(0), targets, "id", "text", "source").count() == 0
 
 
+def test_sample_of_a_source_of_any_size(spark):
+    from ledgerloom.llm.mixing import sampled
+
+    ids = spark.range(200_000).withColumn("source", F.lit("a"))
+    for n, least, most in [(400_000_000, 0, 10), (10**15, 0, 3), (200_000, 230, 380), (100, 200_000, 200_000), (0, 200_000, 200_000)]:  # counts as of so many rows
+        assert least <= ids.filter(sampled(ids, {"a": n}, 300)).count() <= most
+    # 300 of 4e8 rows is one in 1.3 million: none of a source is lost to a coarse grain
+    assert spark.range(20_000_000).withColumn("source", F.lit("a")).transform(lambda x: x.filter(sampled(x, {"a": 400_000_000}, 300))).count() > 3
+
+
 def test_premises(spark):
     rows = [
         ("a", "Zanufast Chambers, 166, Tegazudot Raod, Mahumalt, 477 792", 1), ("b", "Zanufast Chambers,Door No 166, Tegazudot Road,Neverundnagar 477792,Mahumalt,IN", 1), ("c", "166 Tegzudot Rd; Neverundnagar", 1), ("d", "167 Tegazudot Road, Neverundnagar 477792", 1),
