@@ -164,22 +164,20 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
     # that a record repeats is one row with the list of its places
     ask = hits.filter("not whole or (_open and id = lo)").groupBy("id", "anchor", "context", "starts", "whole", "large").agg(F.collect_list("start").alias("at"))
     ask = ask.withColumn("at", F.when(F.col("whole"), F.slice("at", 1, 1)).otherwise(F.col("at")))
-    ask = ask.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "starts", "whole", "large")).alias("asked"))
-    asked = ask.join(docs, "id")
+    by_record = lambda x: x.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "starts", "whole")).alias("asked")).join(docs, "id")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, r["anchor"], r["at"], r["whole"], t[r["at"][0] : r["at"][0] + r["starts"] + span - 1]) for i, t, rs in zip(pdf.id, pdf.text, pdf.asked) for r in rs if not r["large"]]
+            out = [(i, r["anchor"], r["at"], r["whole"], t[r["at"][0] : r["at"][0] + r["starts"] + span - 1]) for i, t, rs in zip(pdf.id, pdf.text, pdf.asked) for r in rs]
             yield pd.DataFrame(out, columns=["id", "anchor", "at", "whole", "piece"])
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, t, rs in zip(pdf.id, pdf.text, pdf.asked):
                 for r in rs:
-                    if r["large"]:
-                        g = Hashes([t[r["at"][0] : r["at"][0] + r["starts"] + span - 1]]).grams(span)
-                        for start in r["at"]:
-                            yield pd.DataFrame({"id": i, "gram": g.view(np.int64), "start": np.arange(start, start + len(g), dtype=np.int32), "whole": r["whole"]})
+                    g = Hashes([t[r["at"][0] : r["at"][0] + r["starts"] + span - 1]]).grams(span)
+                    for start in r["at"]:
+                        yield pd.DataFrame({"id": i, "gram": g.view(np.int64), "start": np.arange(start, start + len(g), dtype=np.int32), "whole": r["whole"]})
 
     def compare(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
         holder: dict[str, object] = {}
@@ -204,10 +202,12 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
                     begin = None
         return out
 
-    pieces = asked.filter(F.exists("asked", lambda r: ~r.large)).mapInPandas(contexts, f"id {name}, anchor bigint, at array<int>, whole boolean, piece string")
+    pieces = by_record(ask.filter("not large")).mapInPandas(contexts, f"id {name}, anchor bigint, at array<int>, whole boolean, piece string")
     small = by_group(pieces, ["anchor"], [], compare, f"id {name}, at array<int>, begin int, finish int", least=2)
     small = small.select("id", F.explode("at").alias("start"), "begin", "finish").select("id", (F.col("start") + F.col("begin")).alias("start"), (F.col("start") + F.col("finish")).alias("end"))
-    singles = asked.filter(F.exists("asked", lambda r: r.large)).mapInPandas(grams, f"id {name}, gram bigint, start int, whole boolean")
+    if hits.filter("large").isEmpty():  # the texts are not shuffled a second time for nothing
+        return factors.unionByName(small)
+    singles = by_record(ask.filter("large")).mapInPandas(grams, f"id {name}, gram bigint, start int, whole boolean")
     singles = stage(singles)
     several = singles.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.bool_or("whole").alias("_whole")).filter("_lo < _hi or _whole").select("gram")
     large = singles.filter("not whole").join(several, "gram").select("id", "start", (F.col("start") + F.lit(span)).alias("end"))
