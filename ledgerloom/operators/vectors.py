@@ -81,3 +81,8 @@ def line_chunks(lines: DataFrame) -> DataFrame:
     part = lambda label, c, kind: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.col(c).cast(kind)))
     text = F.concat_ws(" | ", "description", part("Qty: ", "quantity", "decimal(15,4)"), part("Unit Price: ", "unit_price", "decimal(15,2)"), part("Total: ", "total", "decimal(15,2)"))
     return lines.select(F.concat(F.lit("line_"), "id").alias("chunk_id"), "organization_id", text.alias("text")).filter("text <> ''")
+
+
+def stats(chunks: DataFrame, size: int = 128) -> DataFrame:
+    """Chunks and documents in the index by organisation and type."""
+    return chunks.groupBy("organization_id", "chunk_type").agg(F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("document_id").alias("documents"), F.lit(size).alias("dimensions"))
