@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.text import bank_digits, normalize_tax_id
 from ledgerloom.session import table
 
 OPEN = ("unpaid", "pending", "partially_paid")
@@ -127,12 +128,24 @@ def amount_outliers(invoices: DataFrame, least: int = 5, z: float = 2.5) -> Data
     return y.select("organization_id", "id", F.col("n").alias("sample"), F.when(F.col("z_score") > 0, "HIGH").otherwise("LOW").alias("kind"), "z_score")
 
 
-def history_outliers(invoices: DataFrame, least: int = 5, z: float = 2.5) -> DataFrame:
-    """The z-score of each amount against the vendor's deliveries before it, as known on arrival."""
+def history_outliers(invoices: DataFrame, least: int = 5, z: float = 2.5, parts: int = 64) -> DataFrame:
+    """The z-score of each amount against the vendor's deliveries before it, as known on arrival.
+
+    A vendor's deliveries are cut into ``parts`` stretches of their order; sums of the stretches before come from
+    aggregates, so one vendor with a large share of all rows is no single task. Amounts are taken off the vendor's
+    mean first, which keeps the sums of squares exact enough."""
     x = invoices.filter("vendor_id is not null and total_amount is not null").select("organization_id", "vendor_id", "id", "seq", F.col("total_amount").cast("double").alias("a"))
-    w = Window.partitionBy("organization_id", "vendor_id").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
-    y = x.select("organization_id", "id", "a", F.count("a").over(w).alias("n"), F.avg("a").over(w).alias("mean"), F.stddev_samp("a").over(w).alias("sd"))
-    y = y.filter((F.col("n") >= least) & (F.col("sd") > 0)).withColumn("z_score", F.round((F.col("a") - F.col("mean")) / F.col("sd"), 2)).filter(F.abs("z_score") > z)
+    key = ["organization_id", "vendor_id"]
+    spans = x.groupBy(*key).agg(F.round(F.avg("a"), 2).alias("c"), F.min("seq").alias("low"), (F.max("seq") - F.min("seq") + 1).alias("width"))
+    x = x.join(spans, key).withColumn("part", F.floor((F.col("seq") - F.col("low")) * parts / F.col("width"))).withColumn("d", F.col("a") - F.col("c"))
+    sums = x.groupBy(*key, "part").agg(F.count("*").alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2"))
+    ahead = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*key, "part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"b{c}") for c in ("n", "s1", "s2")])
+    w = Window.partitionBy(*key, "part").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, e: F.col(f"b{c}") + F.coalesce(e.over(w), F.lit(0))
+    y = x.join(before, [*key, "part"]).select("organization_id", "id", "d", upto("n", F.count("d")).alias("n"), upto("s1", F.sum("d")).alias("s1"), upto("s2", F.sum(F.col("d") * F.col("d"))).alias("s2"))
+    y = y.filter(F.col("n") >= least).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1))))
+    y = y.filter("sd > 1e-6").withColumn("z_score", F.round((F.col("d") - F.col("s1") / F.col("n")) / F.col("sd"), 2)).filter(F.abs("z_score") > z)
     return y.select("organization_id", "id", F.col("n").alias("sample"), "z_score")
 
 
@@ -145,6 +158,27 @@ def resolve_exact(invoices: DataFrame, vendors: DataFrame, aliases: DataFrame) -
     return y.select("organization_id", "id", F.coalesce("by_name", "by_alias").alias("vendor_id"), F.when(F.col("by_name").isNotNull(), "NORMALIZED_NAME").when(F.col("by_alias").isNotNull(), "ALIAS").otherwise("NEW_VENDOR").alias("match_type"))
 
 
+def resolve_cascade(vendors: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Which known vendor another vendor record is: by tax number, by bank account (with the bank code where both
+    have one), by normalised name, by alias; the least id of each key. Four left joins on keys that are unique."""
+    least = lambda df, *keys: df.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy("organization_id", *keys)
+    bare = lambda df: df.select("organization_id", "id", normalize_tax_id(F.col("tax_id")).alias("tax"), bank_digits(F.col("bank_account")).alias("bank"), F.upper(F.trim("ifsc_swift")).alias("code"), F.col("normalized_name").alias("name"))
+    k, x = bare(known), bare(vendors)
+    by_tax = least(k, "tax").agg(F.min("id").alias("by_tax"))
+    by_code = least(k, "bank", "code").agg(F.min("id").alias("by_code"))
+    by_bank = least(k, "bank").agg(F.min("id").alias("any_code"), F.min(F.when(F.col("code").isNull(), F.col("id"))).alias("no_code"))
+    by_name = least(k, "name").agg(F.min("id").alias("by_name"))
+    by_alias = least(aliases.filter("vendor_id is not null").withColumnRenamed("normalized_alias", "name"), "name").agg(F.min("vendor_id").alias("by_alias"))
+    y = x.join(by_tax, ["organization_id", "tax"], "left").join(by_code, ["organization_id", "bank", "code"], "left").join(by_bank, ["organization_id", "bank"], "left")
+    y = y.join(by_name, ["organization_id", "name"], "left").join(by_alias, ["organization_id", "name"], "left")
+    by_account = F.when(F.col("code").isNull(), F.col("any_code")).otherwise(F.least("by_code", "no_code"))
+    order = [("TAX_ID", F.col("by_tax")), ("BANK_ACCOUNT", by_account), ("NORMALIZED_NAME", F.col("by_name")), ("ALIAS", F.col("by_alias"))]
+    kind = F.lit("NEW_VENDOR")
+    for name, c in reversed(order):
+        kind = F.when(c.isNotNull(), name).otherwise(kind)
+    return y.select("organization_id", "id", F.coalesce(*[c for _, c in order]).alias("vendor_id"), kind.alias("match_type"))
+
+
 def drivers(lines: DataFrame, invoices: DataFrame, before: str, after: str) -> DataFrame:
     """Per product: what price and what quantity changed between two months, and new products."""
     x = lines.join(invoices.select("organization_id", F.col("id").alias("invoice_id"), F.date_format("invoice_date", "yyyy-MM").alias("month")), ["organization_id", "invoice_id"]).filter(F.col("month").isin(before, after) & F.col("product_code").isNotNull())

@@ -4,8 +4,9 @@ A record's unit is read from its unit text or, where that is blank or names only
 its description. Each source (organisation and product) then has a history of log unit prices; an
 exact penalised changepoint search (PELT, normal cost) over its daily sums splits it into levels.
 A level that stands off the source's main level by a known conversion factor marks a change of unit
-nobody stated: ``history_factor`` is what quantities there have to be multiplied by, and records
-without any stated unit take it as their conversion (``basis`` = history).
+nobody stated: ``history_factor`` is what quantities there have to be multiplied by. Records of such a level
+are converted by it besides their stated unit (``reversed``), and records without any stated unit take it as
+their conversion (``basis`` = history).
 
 Defined results: null quantity or price -> null in base units; a unit that is no measure (lot, job)
 and has no telling description -> ``basis`` none unless the history tells it; rows without a source
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import fence, stage
+from ledgerloom.session import fence, spread, stage
 
 # Spellings of each unit code, without dots and in lower case.
 SPELLINGS = {
@@ -144,29 +145,41 @@ def changepoints(count: np.ndarray, total: np.ndarray, squares: np.ndarray, pena
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str, least: int = 1) -> DataFrame:
     """``each`` over every group of ``least`` rows or more, in key order within hash partitions. Far cheaper
-    than a pandas call per group where groups are many and small; a group must fit in memory."""
+    than a pandas call per group where groups are many and small; a group must fit in memory. The number of
+    partitions is fixed, as the work of Python is not told by the bytes that adaptive execution merges by."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # parts of the group that is not yet complete
+
+        def close() -> pd.DataFrame:
+            whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            held.clear()
+            return pd.DataFrame(each(tuple(whole[k].iat[0] for k in keys), whole) if len(whole) >= least else [], columns=names)
+
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             new = np.zeros(len(pdf), dtype=bool)
-            new[0] = True
+            new[0] = bool(held) and any(held[-1][k].iat[-1] != pdf[k].iat[0] for k in keys)
             for k in keys:
                 v = pdf[k].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
             starts = np.flatnonzero(new)
-            large = np.flatnonzero(np.diff(starts) >= least)
-            out = [r for g in large for r in each(tuple(pdf[k].iat[starts[g]] for k in keys), pdf.iloc[starts[g] : starts[g + 1]])]
-            held = pdf.iloc[starts[-1] :]
+            if len(starts) == 0:
+                held.append(pdf)
+                continue
+            if held or starts[0] > 0:
+                if starts[0] > 0:
+                    held.append(pdf.iloc[: starts[0]])
+                yield close()
+            out = [r for a, b in zip(starts, starts[1:]) if b - a >= least for r in each(tuple(pdf[k].iat[a] for k in keys), pdf.iloc[a:b])]
+            held.append(pdf.iloc[starts[-1] :])
             yield pd.DataFrame(out, columns=names)
-        if held is not None and len(held) >= least:
-            yield pd.DataFrame(each(tuple(held[k].iat[0] for k in keys), held), columns=names)
+        if held:
+            yield close()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def history_levels(records: DataFrame, source: list[str], factors: DataFrame, sigma: float = 0.05, tolerance: float = 0.02) -> DataFrame:
@@ -209,7 +222,7 @@ def history_levels(records: DataFrame, source: list[str], factors: DataFrame, si
 
 def normalise_units(lines: DataFrame, unit_ref: DataFrame, source: list[str], day: str, quantity: str = "quantity", price_inr: str = "price_inr") -> DataFrame:
     """Adds unit_code, pack_size, basis, dimension, factor, quantity_base, price_base (INR per base unit),
-    log_shift and history_factor to ``lines``. ``price_inr`` is the money of one counted unit in INR."""
+    log_shift, history_factor and reversed to ``lines``. ``price_inr`` is the money of one counted unit in INR."""
     ref = F.broadcast(unit_ref.select("unit_code", F.col("dimension"), F.col("factor").alias("_factor")))  # 25 fixed rows
     x = with_unit(lines).join(ref, "unit_code", "left").withColumn("factor", F.col("_factor") * F.col("pack_size")).drop("_factor")
     x = x.withColumn("basis", F.when(F.col("factor").isNull(), "none").otherwise(F.col("basis"))).withColumn("stated", F.col("basis") != "none")
@@ -222,5 +235,7 @@ def normalise_units(lines: DataFrame, unit_ref: DataFrame, source: list[str], da
     on = [F.col(c) == F.col(f"_{c}") for c in source] + [F.col("stated") == F.col("_stated"), F.col("_day").between(F.col("first_day"), F.col("last_day"))]
     x = x.join(told, on, "left").drop(*[f"_{c}" for c in source], "_stated", "first_day", "last_day")
     x = x.withColumn("basis", F.when(~F.col("stated") & F.col("history_factor").isNotNull(), "history").otherwise(F.col("basis")))
-    x = x.withColumn("dimension", F.coalesce("dimension", F.when(F.col("basis") == "history", F.col("_dimension")))).withColumn("factor", F.coalesce("factor", F.when(F.col("basis") == "history", F.col("history_factor"))))
+    x = x.withColumn("reversed", F.col("stated") & F.col("history_factor").isNotNull())
+    x = x.withColumn("dimension", F.coalesce("dimension", F.when(F.col("basis") == "history", F.col("_dimension"))))
+    x = x.withColumn("factor", F.when(F.col("basis") == "history", F.col("history_factor")).when(F.col("reversed"), F.col("factor") * F.col("history_factor")).otherwise(F.col("factor")))
     return x.withColumn("quantity_base", F.col(quantity).cast("double") * F.col("factor")).withColumn("price_base", F.col(price_inr).cast("double") / F.col("factor")).drop("_day", "_dimension", "stated")

@@ -70,10 +70,10 @@ def payments_per_invoice(spark: SparkSession, sf: str) -> DataFrame:
     return _inv(spark, sf).join(x, ["organization_id", "id"])
 
 
-def ego_network(spark: SparkSession, sf: str, roots: str = "id like '%0'") -> DataFrame:
-    """Nodes by distance within two steps of the chosen orders: as in the SQL, those whose id ends in 0."""
+def ego_network(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes by distance within two steps of every order."""
     nodes, edges = _graph(spark, sf)
-    seeds = nodes.filter("label = 'PurchaseOrder'").filter(roots).select("organization_id", F.col("id").alias("root"))
+    seeds = nodes.filter("label = 'PurchaseOrder'").select("organization_id", F.col("id").alias("root"))
     return graph.neighbourhood(edges, seeds, 2).groupBy("organization_id", "root", "distance").agg(F.count("*").alias("nodes"))
 
 
@@ -167,7 +167,6 @@ QUERIES = {
     "graph_stats_with_aliases": lambda s, d: graph.stats(*_graph(s, d, aliases=True)),
     "shared_bank_accounts": lambda s, d: graph.shared_entities(*_graph(s, d), "Vendor", "BankAccount"),
     "ego_network": ego_network,
-    "ego_network_all_orders": lambda s, d: ego_network(s, d, "true"),
     "vendor_order_paths": vendor_order_paths,
     "text_embeddings": lambda s, d: vectors.sparse_embedding(table(s, d, "chunk").select("chunk_id", "text").distinct(), "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight")),
     "nearest_vectors": nearest_vectors,
@@ -251,7 +250,7 @@ SQL = {
     "tax_id_status": _sql("ven", f"SELECT organization_id, id, CASE WHEN s IS NULL THEN NULL WHEN NOT regexp_full_match(s, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]') THEN 'format' WHEN NOT (try_cast(s[1:2] AS INT) BETWEEN 1 AND 38 OR try_cast(s[1:2] AS INT) IN (97, 99)) THEN 'state' WHEN s[15] <> substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((36 - list_sum(list_transform(range(1, 15), lambda i: (instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) // 36 + ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 36)) % 36) % 36 + 1)::INT, 1) THEN 'checksum' ELSE 'ok' END AS status FROM (SELECT organization_id, id, {_TAX} AS s FROM ven WHERE tax_id IS NOT NULL)"),
     "graph_stats": _sql("ven inv po lnk", "SELECT organization_id, label AS kind, count(*) AS n, 'node' AS what FROM nodes GROUP BY ALL UNION ALL SELECT organization_id, relation, count(*), 'edge' FROM edges GROUP BY ALL", _GRAPH),
     "shared_bank_accounts": _sql("ven inv po lnk", "SELECT b.organization_id, b.dst AS target_id, count(*) AS entities, min(b.src) AS first_entity FROM bothways b JOIN nodes s ON s.organization_id = b.organization_id AND s.id = b.src AND s.label = 'Vendor' JOIN nodes t ON t.organization_id = b.organization_id AND t.id = b.dst AND t.label = 'BankAccount' GROUP BY ALL HAVING count(*) >= 2", _GRAPH),
-    "ego_network": _sql("ven inv po lnk", "SELECT organization_id, root, distance, count(*) AS nodes FROM (SELECT organization_id, root, node, min(d) AS distance FROM walk GROUP BY ALL) GROUP BY ALL", _GRAPH + ", walk AS (SELECT organization_id, id AS root, id AS node, 0 AS d FROM nodes WHERE label = 'PurchaseOrder' AND id LIKE '%0' UNION SELECT w.organization_id, root, dst, d + 1 FROM walk w JOIN bothways b ON b.organization_id = w.organization_id AND b.src = w.node WHERE d < 2)"),
+    "ego_network": _sql("ven inv po lnk", "SELECT organization_id, root, distance, count(*) AS nodes FROM (SELECT organization_id, root, node, min(d) AS distance FROM walk GROUP BY ALL) GROUP BY ALL", _GRAPH + ", walk AS (SELECT organization_id, id AS root, id AS node, 0 AS d FROM nodes WHERE label = 'PurchaseOrder' UNION SELECT w.organization_id, root, dst, d + 1 FROM walk w JOIN bothways b ON b.organization_id = w.organization_id AND b.src = w.node WHERE d < 2)"),
     "vendor_order_paths": _sql("ven inv po lnk", "SELECT w.organization_id, array_to_string(path, '>') AS path FROM walk w JOIN nodes n ON n.organization_id = w.organization_id AND n.id = w.tip AND n.label = 'PurchaseOrder' WHERE len(path) > 1", _GRAPH + ", walk AS (SELECT organization_id, id AS tip, [id] AS path FROM nodes WHERE label = 'Vendor' UNION ALL SELECT w.organization_id, e.dst, list_append(path, e.dst) FROM walk w JOIN (SELECT DISTINCT organization_id, src, dst FROM edges) e ON e.organization_id = w.organization_id AND e.src = w.tip WHERE len(path) <= 3 AND NOT list_contains(path, e.dst))"),
     "text_embeddings": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL) SELECT chunk_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS weight FROM b",
     "nearest_vectors": "WITH s AS (SELECT q.vec_id AS query, x.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 10",

@@ -35,6 +35,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p1_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mixture finds where no feed declares its day-month order: per feed and declared order, the values
+    of figures read as day first and month first, those left open, and how many agree with the reading under the
+    declared order."""
+    fields, profiles = _date_fields(spark, sf), table(spark, sf, "feed_profile")
+    told = normalise_timestamps(fields, profiles, "id", "raw_value", "feed_id").select("id", F.col("local_date").alias("told"))
+    free = normalise_timestamps(fields, profiles.withColumn("date_order", F.lit(None).cast("string")), "id", "raw_value", "feed_id")
+    x = free.filter("format in ('dmy', 'mdy')").join(told, "id").join(profiles.select(F.col("feed_id").alias("source"), "date_order"), "source", "left")
+    return x.groupBy("source", "date_order").agg(
+        F.count_if((F.col("format") == "dmy") & (F.col("status") != "ambiguous")).alias("day_first"), F.count_if((F.col("format") == "mdy") & (F.col("status") != "ambiguous")).alias("month_first"),
+        F.count_if(F.col("status") == "ambiguous").alias("open"), F.count_if(F.col("local_date") == F.col("told")).alias("agree"), F.count_if(F.col("local_date") != F.col("told")).alias("differ"),
+    )
+
+
 def _month(c) -> Column:
     return F.date_format(c, "yyyy-MM")
 
@@ -64,7 +78,13 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 def p6_units(spark: SparkSession, sf: str) -> DataFrame:
     """Every invoice and order line in base units and INR, with the unit the history tells where none is stated."""
     x = normalise_units(_lines(spark, sf), table(spark, sf, "unit_ref"), ["organization_id", "product_code"], "day")
-    return x.select("organization_id", "line_id", "po_id", "product_code", "unit_code", "pack_size", "basis", "dimension", "factor", "quantity_base", "price_base", "log_shift", "history_factor")
+    return x.select("organization_id", "line_id", "po_id", "product_code", "unit_code", "pack_size", "basis", "dimension", "factor", "quantity_base", "price_base", "log_shift", "history_factor", "reversed")
+
+
+def p6_conversions(spark: SparkSession, sf: str) -> DataFrame:
+    """How many lines each basis converts, and how many the history reverses, per dimension."""
+    x = p6_units(spark, sf).groupBy("basis", "dimension")
+    return x.agg(F.count("*").alias("lines"), F.count_if("reversed").alias("reversed"), F.count_if(F.col("history_factor").isNotNull()).alias("told_by_history"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,17 +111,17 @@ def p7_orphans(spark: SparkSession, sf: str) -> DataFrame:
     orders, files = table(spark, sf, "purchase_order"), table(spark, sf, "doc_registry")
 
     def refs(df: DataFrame, key: Column, *more: str) -> DataFrame:
-        x = df.withColumn("key", F.when(F.trim(key) != "", key)).filter("key is not null").groupBy("organization_id", "id", "key", *more).agg(F.min("ingested_at").alias("first_at"))
+        x = df.withColumn("key", F.when(F.trim(key) != "", key)).groupBy("organization_id", "id", "key", *more).agg(F.min("ingested_at").alias("first_at"))
         return x.withColumn("month", month_index(F.col("first_at")))
 
     def orphans(r: DataFrame, t: DataFrame, name: str, field: str) -> DataFrame:
-        x = orphan_references(r, t, {"key": "key"}, {"organization_id": "organization_id"}, "simple", "month", ("from_month", "to_month"))
+        x = orphan_references(r, t, {"organization_id": "organization_id", "key": "key"}, None, "simple", "month", ("from_month", "to_month"))
         return x.select(F.lit(name).alias("ref_table"), F.lit(field).alias("ref_field"), F.col("id").alias("record_id"), month_text(F.col("month")).alias("period"))
 
     linked = refs(link, F.col("target_id"), "target_type")
     sold = invoice.select("organization_id", "id", "ingested_at", "deleted_at")
     targets = _lives(orders, F.col("id")).withColumn("kind", F.lit("PURCHASE_ORDER")).unionByName(_lives(sold, F.col("id")).withColumn("kind", F.lit("INVOICE")))
-    by_kind = orphan_references(linked, targets, {"key": "key"}, {"organization_id": "organization_id", "target_type": "kind"}, "simple", "month", ("from_month", "to_month"))
+    by_kind = orphan_references(linked, targets, {"organization_id": "organization_id", "target_type": "kind", "key": "key"}, None, "simple", "month", ("from_month", "to_month"))
     return (
         orphans(refs(invoice, F.trim("po_number")), _lives(orders, F.trim("po_number")), "invoice", "po_number")
         .unionByName(orphans(refs(invoice, F.col("document_id")), _lives(files, F.col("id")), "invoice", "document_id"))
@@ -113,6 +133,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_orphans(spark, sf).distinct()
 
 
+def p7_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices that name an order by vendor and number, either of which may be null: orphans by null mask under
+    each match semantics."""
+    refs = first_by_id(table(spark, sf, "invoice"), "organization_id", "id", "vendor_id", "po_number").withColumn("po_number", F.nullif(F.trim("po_number"), F.lit("")))
+    orders = first_by_id(table(spark, sf, "purchase_order"), "organization_id", "vendor_id", "po_number").withColumn("po_number", F.trim("po_number"))
+    keys = {"vendor_id": "vendor_id", "po_number": "po_number"}
+    out = None
+    for match in ("simple", "full", "partial"):
+        x = orphan_references(refs, orders, keys, {"organization_id": "organization_id"}, match)
+        x = x.select(F.lit(match).alias("semantics"), *[F.col(c).isNull().alias(f"no_{c}") for c in keys]).groupBy("semantics", *[f"no_{c}" for c in keys]).agg(F.count("*").alias("orphans"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Orphans per table, field and period."""
     return p7_orphans(spark, sf).groupBy("ref_table", "ref_field", "period").agg(F.countDistinct("record_id").alias("orphans"))
@@ -138,8 +172,13 @@ orphans AS (
     AND t.f < (date_trunc('month', r.f AT TIME ZONE 'UTC') + INTERVAL 1 MONTH) AT TIME ZONE 'UTC'
     AND (t.d IS NULL OR t.d >= (date_trunc('month', r.f AT TIME ZONE 'UTC') + INTERVAL 1 MONTH) AT TIME ZONE 'UTC')))
 """
-QUERIES = {"p1_found": p1_found, "p1_timestamps": p1_timestamps, "p6_found": p6_found, "p6_units": p6_units, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {f.__name__: f for f in (p1_found, p1_timestamps, p1_orders, p6_found, p6_units, p6_conversions, p7_found, p7_report, p7_composite)}
 SQL: dict[str, str] = {
     "p7_found": _P7 + "SELECT DISTINCT * FROM orphans",
+    "p7_composite": """WITH r AS (SELECT DISTINCT organization_id, id, vendor_id, nullif(trim(po_number), '') AS po_number FROM invoice), o AS (SELECT DISTINCT organization_id, vendor_id, trim(po_number) AS po_number FROM purchase_order),
+      m AS (SELECT r.*, vendor_id IS NULL AS no_vendor_id, po_number IS NULL AS no_po_number, EXISTS (SELECT 1 FROM o WHERE o.organization_id = r.organization_id AND (r.vendor_id IS NULL OR o.vendor_id = r.vendor_id) AND (r.po_number IS NULL OR o.po_number = r.po_number)) AS met FROM r)
+      SELECT 'simple' AS semantics, no_vendor_id, no_po_number, count(*) AS orphans FROM m WHERE NOT no_vendor_id AND NOT no_po_number AND NOT met GROUP BY ALL
+      UNION ALL SELECT 'full', no_vendor_id, no_po_number, count(*) FROM m WHERE (no_vendor_id <> no_po_number) OR (NOT no_vendor_id AND NOT no_po_number AND NOT met) GROUP BY ALL
+      UNION ALL SELECT 'partial', no_vendor_id, no_po_number, count(*) FROM m WHERE NOT (no_vendor_id AND no_po_number) AND NOT met GROUP BY ALL""",
     "p7_report": _P7 + "SELECT ref_table, ref_field, period, count(DISTINCT record_id) AS orphans FROM orphans GROUP BY ALL",
 }

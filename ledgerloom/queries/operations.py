@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import operations as ops
 from ledgerloom.operators import records, vectors
 from ledgerloom.operators.records import money
-from ledgerloom.queries.analytics import AS_OF, PERIOD_A, PERIOD_B, _aliases, _fields, _inv, _lines, _links, _po, _regions, _sql, _vendors
+from ledgerloom.queries.analytics import AS_OF, PERIOD_A, PERIOD_B, _aliases, _fields, _inv, _lines, _links, _po, _sql, _TAX, _vendors
 from ledgerloom.session import table
 
 NAMES = "vendor_id vendor_name_raw vendor_name_normalized"
+SINCE = 1_735_689_600  # 2025-01-01 UTC
 START, END = PERIOD_A[0], PERIOD_B[1]
 
 
@@ -46,6 +47,13 @@ def invoice_details(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def vendor_cascade(s: SparkSession, d: str) -> DataFrame:
+    """The vendors received since a day against those received before."""
+    v = records.records(s, d, "vendor", "tax_id bank_account ifsc_swift normalized_name ingested_at")
+    since = F.col("ingested_at") >= F.timestamp_seconds(F.lit(SINCE))
+    return records.resolve_cascade(v.filter(since), v.filter(~since), _aliases(s, d, "vendor_id normalized_alias"))
+
+
 def mentioned_vendors(s: SparkSession, d: str) -> DataFrame:
     """The vendor an invoice's printed name mentions."""
     return ops.longest_mentions(_inv(s, d, "vendor_name_normalized").withColumnRenamed("vendor_name_normalized", "text"), _vendors(s, d, "normalized_name"))
@@ -79,6 +87,7 @@ QUERIES = {
     "period_findings": lambda s, d: ops.findings_in_period(_findings(s, d), _inv(s, d, "invoice_date"), START, END).groupBy("organization_id", "kind").agg(F.count("*").alias("n")),
     "flagged_outliers": lambda s, d: ops.flagged(records.amount_outliers(_inv(s, d, "vendor_id total_amount")), _inv(s, d, "invoice_date"), START, END),
     "evidence_confidence": lambda s, d: ops.mean_confidence(_fields(s, d, "document_id confidence")),
+    "vendor_cascade": vendor_cascade,
     "mentioned_vendors": mentioned_vendors,
     "changed_products": lambda s, d: ops.new_and_removed(_lines(s, d, "invoice_id product_code total"), _inv(s, d, "vendor_id invoice_date"), PERIOD_A, PERIOD_B),
     "spend_change": lambda s, d: records.compare_spend(_inv(s, d, "vendor_id invoice_date total_amount"), PERIOD_A, PERIOD_B).select("organization_id", "vendor_id", ops.change_pct(F.col("spend_a"), F.col("spend_b")).alias("change_pct")),
@@ -143,6 +152,16 @@ SQL = {
     "period_findings": _sql("inv lnk", f"SELECT organization_id, kind, count(*) AS n FROM found WHERE (organization_id, invoice_id) IN (SELECT (organization_id, id) FROM inv WHERE {_PERIOD}) GROUP BY 1, 2", _FOUND),
     "flagged_outliers": _sql("inv", f"SELECT organization_id, id, z_score, CASE WHEN {_PERIOD} THEN 'CONFIRMED' ELSE 'SUPPORTED' END AS state FROM odd", _ODD),
     "evidence_confidence": _sql("fld", "SELECT document_id, count(*) AS evidence, round(avg(confidence::DOUBLE), 6) AS confidence FROM fld GROUP BY 1"),
+    "vendor_cascade": _sql(
+        "ali",
+        f"""SELECT x.organization_id, x.id, coalesce(t.id, b.id, n.id, a.id) AS vendor_id, CASE WHEN t.id IS NOT NULL THEN 'TAX_ID' WHEN b.id IS NOT NULL THEN 'BANK_ACCOUNT' WHEN n.id IS NOT NULL THEN 'NORMALIZED_NAME' WHEN a.id IS NOT NULL THEN 'ALIAS' ELSE 'NEW_VENDOR' END AS match_type FROM late x
+        LEFT JOIN (SELECT x.id AS xid, x.organization_id AS o, min(k.id) AS id FROM late x JOIN early k ON k.organization_id = x.organization_id AND k.tax = x.tax GROUP BY 1, 2) t ON t.xid = x.id AND t.o = x.organization_id
+        LEFT JOIN (SELECT x.id AS xid, x.organization_id AS o, min(k.id) AS id FROM late x JOIN early k ON k.organization_id = x.organization_id AND k.bank = x.bank AND (x.code IS NULL OR k.code IS NULL OR x.code = k.code) GROUP BY 1, 2) b ON b.xid = x.id AND b.o = x.organization_id
+        LEFT JOIN (SELECT organization_id, normalized_name AS name, min(id) AS id FROM early GROUP BY 1, 2) n ON n.organization_id = x.organization_id AND n.name = x.normalized_name
+        LEFT JOIN (SELECT organization_id, normalized_alias AS name, min(vendor_id) AS id FROM ali WHERE vendor_id IS NOT NULL GROUP BY 1, 2) a ON a.organization_id = x.organization_id AND a.name = x.normalized_name""",
+        f"""v0 AS (SELECT *, {_TAX} AS tax, CASE WHEN length(regexp_replace(bank_account, '[^0-9]', '', 'g')) >= 9 THEN regexp_replace(bank_account, '[^0-9]', '', 'g') END AS bank, upper(trim(ifsc_swift)) AS code FROM (SELECT * EXCLUDE (ingested_at), min(ingested_at) AS ingested_at FROM vendor GROUP BY ALL)),
+        early AS (SELECT * FROM v0 WHERE epoch_us(ingested_at) < {SINCE}000000), late AS (SELECT * FROM v0 WHERE epoch_us(ingested_at) >= {SINCE}000000)""",
+    ),
     "mentioned_vendors": _sql(
         "inv ven",
         """SELECT organization_id, id, vendor_id, name FROM (SELECT t.organization_id, t.id, v.vendor_id, v.name, row_number() OVER (PARTITION BY t.organization_id, t.id ORDER BY length(v.name) DESC, v.vendor_id) AS rn FROM

@@ -45,3 +45,25 @@ def test_history_tells_missing_units(spark):
     assert got["g"].basis == "history" and math.isclose(got["g"].quantity_base, 5.0, rel_tol=1e-6)
     assert got["l1"].basis == "unit" and got["l1"].price_base == 100.0 and got["z"].quantity_base is None
     assert normalise_units(df.limit(0), ref, ["org", "product"], "day").count() == 0
+
+
+def test_unstated_change_of_unit_is_reversed(spark):
+    # from day 21 on the source counts in grams, but still writes kg
+    rows = [("o", f"l{d}", "p", "kg", None, 2.0, 100.0, f"2025-01-{d:02d}") for d in range(1, 21)] + [("o", f"g{d}", "p", "kg", None, 5000.0, 0.1, f"2025-01-{d:02d}") for d in range(21, 29)]
+    df = spark.createDataFrame(rows, "org string, id string, product string, unit string, description string, quantity double, price_inr double, day string")
+    got = {r.id: r for r in normalise_units(df, spark.createDataFrame(REF, "dimension string, unit_code string, base_unit string, factor double"), ["org", "product"], "day").collect()}
+    assert not got["l1"].reversed and all(got[f"g{d}"].reversed for d in range(21, 29))
+    assert math.isclose(got["g25"].quantity_base, 5.0, rel_tol=1e-6) and math.isclose(got["g25"].price_base, 100.0, rel_tol=1e-6)
+
+
+def test_groups_over_many_batches(spark):
+    from ledgerloom.operators.units import by_group
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame([(i % 5 if i < 60 else 9, i) for i in range(200)], "k int, v int")
+        got = {r.k: (r.n, r.total) for r in by_group(df, ["k"], ["v"], lambda key, pdf: [(int(key[0]), len(pdf), int(pdf.v.sum()))], "k int, n int, total int").collect()}
+        assert got == {**{k: (12, sum(range(k, 60, 5))) for k in range(5)}, 9: (140, sum(range(60, 200)))}
+        assert by_group(df, ["k"], ["v"], lambda key, pdf: [(int(key[0]),)], "k int", least=13).count() == 1 and by_group(df.limit(0), ["k"], [], lambda key, pdf: [(1,)], "k int").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
