@@ -87,15 +87,6 @@ def page_summary(regions: DataFrame) -> DataFrame:
     return regions.groupBy(*PAGE).agg(F.count("*").alias("regions"), F.count_if(F.col("processing_status") == "COMPLETED").alias("completed"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-def document_types(regions: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """Score per type: double for a match on the first page, single elsewhere; best type, first rule on ties."""
-    first = F.col("page_number") == 1
-    hit = lambda p: F.when(F.col("raw_ocr_output").rlike("(?i)" + p), F.when(first, 2).otherwise(1)).otherwise(0)
-    x = regions.groupBy("doc_id").agg(*[F.sum(hit(p)).alias(k) for k, p in rules.items()])
-    best = F.greatest(*[F.struct(F.col(k).alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(rules)])
-    return x.select("doc_id", *rules, F.when(best.s > 0, best.k).otherwise("UNKNOWN").alias("document_type"))
-
-
 def merge_rows(regions: DataFrame, tolerance: int = 12) -> DataFrame:
     """Visual rows: regions of a page from top to bottom, a new row where the top moves more than the tolerance
     beyond the running row's. Depends on the order, so pages are walked one by one."""

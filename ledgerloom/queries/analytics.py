@@ -14,7 +14,6 @@ from ledgerloom.sources.sinks import markdown
 
 AS_OF = "2026-06-30"
 PERIOD_A, PERIOD_B = ("2025-01-01", "2025-03-31"), ("2025-04-01", "2025-06-30")
-DOCUMENT_RULES = {"INVOICE": "invoice", "PURCHASE_ORDER": "purchase order", "STATEMENT": "statement", "TERMS": "terms|conditions"}
 SPEND, LINK_I, LINK_O = "vendor_id invoice_date total_amount", "vendor_id po_number total_amount", "vendor_id po_number total_amount ingested_at"
 LABELS = "(?i)^[a-z ]+:?$"
 
@@ -178,7 +177,6 @@ QUERIES = {
     "table_rows": lambda s, d: regions.table_rows(_regions(s, d, "raw_ocr_output")),
     "page_texts": lambda s, d: regions.page_texts(_regions(s, d, "page_number reading_order raw_ocr_output")),
     "page_summary": lambda s, d: regions.page_summary(_regions(s, d, "page_number processing_status confidence")),
-    "document_types": lambda s, d: regions.document_types(_regions(s, d, "page_number raw_ocr_output"), DOCUMENT_RULES),
     "visual_rows": lambda s, d: regions.merge_rows(_regions(s, d, "page_number bbox")),
     "document_markdown": lambda s, d: markdown(_regions(s, d, "page_number region_type reading_order raw_ocr_output")).select("doc_id", F.length("markdown").alias("length"), F.md5("markdown").alias("md5")),
     "extracted_values": extracted_values,
@@ -260,7 +258,6 @@ SQL = {
     "table_rows": _sql("reg", "SELECT doc_id, id, line_no, len(c) AS cells, c[1] AS description, try_cast(c[2] AS DOUBLE) AS quantity, try_cast(c[3] AS DOUBLE) AS rate FROM (SELECT doc_id, id, line_no, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(x)) AS c FROM (SELECT doc_id, id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, id, regexp_split_to_array(raw_ocr_output, '\\r?\\n') AS l FROM reg WHERE contains(raw_ocr_output, '|'))) WHERE regexp_matches(line, '^\\s*\\|.*\\|\\s*$') AND NOT regexp_matches(line, '^[\\s|:-]+$') AND NOT regexp_matches(lower(line), 'description|qty|quantity|rate|amount'))"),
     "page_texts": _sql("reg", "SELECT doc_id, page_number, count(*) AS regions, md5(string_agg(trim(raw_ocr_output), E'\\n\\n' ORDER BY reading_order NULLS FIRST, id)) AS text_md5 FROM reg WHERE raw_ocr_output IS NOT NULL GROUP BY ALL"),
     "page_summary": _sql("reg", "SELECT doc_id, page_number, count(*) AS regions, count(*) FILTER (processing_status = 'COMPLETED') AS completed, round(avg(confidence), 6) AS confidence FROM reg GROUP BY ALL"),
-    "document_types": _sql("reg", "SELECT doc_id, INVOICE, PURCHASE_ORDER, STATEMENT, TERMS, CASE WHEN greatest(INVOICE, PURCHASE_ORDER, STATEMENT, TERMS) = 0 THEN 'UNKNOWN' WHEN INVOICE = greatest(INVOICE, PURCHASE_ORDER, STATEMENT, TERMS) THEN 'INVOICE' WHEN PURCHASE_ORDER = greatest(PURCHASE_ORDER, STATEMENT, TERMS) THEN 'PURCHASE_ORDER' WHEN STATEMENT >= TERMS THEN 'STATEMENT' ELSE 'TERMS' END AS document_type FROM s", "s AS (SELECT doc_id, " + ", ".join(f"sum(CASE WHEN regexp_matches(raw_ocr_output, '(?i){p}') THEN CASE WHEN page_number = 1 THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS {k}" for k, p in DOCUMENT_RULES.items()) + " FROM reg GROUP BY ALL)"),
     "document_markdown": _sql("reg", "SELECT doc_id, length(m) AS length, md5(m) AS md5 FROM (SELECT doc_id, string_agg(m, E'\\n\\n' ORDER BY page_number) AS m FROM (SELECT doc_id, page_number, '<!-- Page ' || page_number || E' -->\\n\\n' || string_agg(CASE WHEN region_type = 'title' THEN '# ' || t WHEN region_type IN ('header', 'footer') THEN '*' || t || '*' WHEN region_type = 'list' THEN regexp_replace(t, '(?m)^', '- ', 'g') ELSE t END, E'\\n\\n' ORDER BY reading_order, id) AS m FROM (SELECT *, trim(raw_ocr_output) AS t FROM reg) WHERE t <> '' GROUP BY doc_id, page_number) GROUP BY doc_id)"),
     "printed_amounts": _sql("fld", "SELECT id, CASE WHEN european THEN try_cast(replace(replace(n, '.', ''), ',', '.') AS DECIMAL(18, 2)) ELSE try_cast(replace(n, ',', '') AS DECIMAL(18, 2)) END::DOUBLE AS amount, try_cast(field_value AS DECIMAL(18, 2))::DOUBLE AS stored FROM (SELECT *, contains(n, ',') AND ((contains(n, '.') AND strpos(reverse(n), ',') < strpos(reverse(n), '.')) OR (NOT contains(n, '.') AND regexp_full_match(n, '-?[0-9]+,[0-9]{1,2}'))) AS european FROM (SELECT id, field_value, regexp_replace(regexp_extract(lower(raw_value), '(-?[0-9][0-9.,]*)', 1), '[.,]+$', '') AS n FROM fld WHERE field_name = 'total_amount'))"),
     "extracted_values": _sql("fld", "SELECT document_id, field, arg_min(value, row(page_number, id)) AS value, arg_min(id, row(page_number, id)) AS id FROM (SELECT document_id, page_number, id, unnest([" + ", ".join(f"{{'field': '{f}', 'value': nullif(regexp_replace(regexp_extract(original_text, '(?i)\\b{a}[ \\t]*[:.]?[ \\t]*\\n?[ \\t]*{b}', 1), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'), '')}}" for f, (a, b) in extraction.FIELDS.items()) + "], recursive := true) FROM fld WHERE original_text IS NOT NULL) WHERE value IS NOT NULL GROUP BY ALL"),
