@@ -14,10 +14,49 @@ def write_table(df: DataFrame, path: str, partition: str | None = "organization_
 
 
 def fan_out(extracted: DataFrame, path: str) -> None:
-    """One extraction result (header, lines, fields) into three tables, each by one pass over its columns."""
-    write_table(extracted.drop("lines", "fields"), f"{path}/invoice", mode="append")
-    write_table(extracted.select("organization_id", F.col("id").alias("invoice_id"), F.inline("lines")), f"{path}/invoice_line", mode="append")
-    write_table(extracted.select("organization_id", "document_id", F.inline("fields")), f"{path}/extracted_field", mode="append")
+    """One extraction result (header, lines, fields, issues) into its tables, each by one pass over its columns.
+    Every table carries the document and, with a second run over the same documents, replaces their rows."""
+    key = ["organization_id", "document_id"]
+    parts = {"invoice": extracted.drop("lines", "fields", "issues"), "invoice_line": extracted.select(*key, F.col("id").alias("invoice_id"), F.inline("lines")), "extracted_field": extracted.select(*key, F.inline("fields"))}
+    if "issues" in extracted.columns:
+        parts["issue"] = extracted.select(*key, F.col("id").alias("invoice_id"), F.inline("issues"))
+    for name, df in parts.items():
+        write_table(df, f"{path}/{name}", mode="append")
+
+
+def order_tables(orders: DataFrame, path: str) -> None:
+    """Purchase orders and their lines as two tables."""
+    write_table(orders.drop("line_items"), f"{path}/purchase_order", mode="append")
+    write_table(orders.select("organization_id", F.col("id").alias("po_id"), F.inline("line_items")), f"{path}/purchase_order_line", mode="append")
+
+
+def new_payments(payments: DataFrame) -> DataFrame:
+    """Payments as they are stored: reference without blanks, COMPLETED where no status is given, ids from content."""
+    x = payments.withColumn("reference", F.trim("reference")).withColumn("status", F.upper(F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("COMPLETED"))))
+    return x.withColumn("id", F.coalesce("id", deterministic_id("pay_", "organization_id", "reference", "amount", "paid_on"))) if "id" in x.columns else x.withColumn("id", deterministic_id("pay_", "organization_id", "reference", "amount", "paid_on"))
+
+
+def latest_status(events: DataFrame) -> DataFrame:
+    """Documents with the state of their last event. ``events``(organization_id, document_id, status, at)."""
+    return events.groupBy("organization_id", "document_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.min("at").alias("received_at"), F.max("at").alias("changed_at"), F.count("*").alias("events"))
+
+
+def write_json(df: DataFrame, path: str, by: str = "doc_id") -> None:
+    """One JSON object a document, its regions nested by page, in files of many documents."""
+    region = F.struct(*[c for c in df.columns if c not in (by, "page_number")])
+    pages = df.groupBy(by, "page_number").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    pages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("page_number", "regions"))).alias("pages")).write.mode("overwrite").json(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Node and edge tables by organisation; a run over some organisations leaves the others as they are."""
+    write_table(nodes, f"{path}/nodes")
+    write_table(edges, f"{path}/edges")
+
+
+def write_index(embedded: DataFrame, path: str) -> None:
+    """Chunks with their vectors by organisation, so that a restart reads them and computes none."""
+    write_table(embedded, path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
