@@ -67,3 +67,45 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most:
         hit = now.withColumn("node", F.element_at("path", -1)).join(targets, ["organization_id", "node"], "left_semi").select("organization_id", F.array_join("path", ">").alias("path"))
         out = hit if out is None else out.unionByName(hit)
     return out
+
+
+def get_node(nodes: DataFrame, node: str, org: str | None = None) -> DataFrame:
+    x = nodes.filter(F.col("id") == node)
+    return x.filter(F.col("organization_id") == org) if org is not None else x
+
+
+def clear(nodes: DataFrame, edges: DataFrame, org: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph without an organisation, or an empty one."""
+    if org is None:
+        return nodes.limit(0), edges.limit(0)
+    return nodes.filter(F.col("organization_id") != org), edges.filter(F.col("organization_id") != org)
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes with their attributes (a map): later values win key by key, attributes only the older has stay."""
+    key = ["organization_id", "id"]
+    x = old.select(*key, F.lit(0).alias("o"), "label", "attributes").unionByName(new.select(*key, F.lit(1).alias("o"), "label", "attributes"))
+    entries = F.array_sort(F.collect_list(F.struct("o", "attributes")))
+    merged = F.aggregate(F.transform(entries, lambda e: e.attributes), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda a, m: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(m, k)), m))
+    return x.groupBy(*key).agg(F.max_by("label", "o").alias("label"), merged.alias("attributes"))
+
+
+def reference_edges(links: DataFrame) -> DataFrame:
+    """Invoice to order with the status and match type of the link; the last by id where several join the same two."""
+    x = links.filter("link_type = 'INVOICE_TO_PO' and target_id is not null")
+    return x.groupBy("organization_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.max_by(F.struct("status", "match_type"), "id").alias("a")).select("organization_id", "src", "dst", "a.*")
+
+
+def induced(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """``around``(organization_id, root, node) -> the directed edges both ends of which lie around their root."""
+    a = around.select("organization_id", "root", F.col("node").alias("src"))
+    b = around.select("organization_id", "root", F.col("node").alias("dst"))
+    return edges.join(a, ["organization_id", "src"]).join(b, ["organization_id", "root", "dst"], "left_semi").select("organization_id", "root", "src", "dst", "relation")
+
+
+def labelled_neighbours(nodes: DataFrame, edges: DataFrame, label: str, of: str) -> DataFrame:
+    """organization_id, id, neighbour: nodes of one label beside those of another, whichever way the edge points."""
+    both = edges.select("organization_id", "src", "dst").unionByName(edges.select("organization_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    a = nodes.filter(F.col("label") == of).select("organization_id", F.col("id").alias("src"))
+    b = nodes.filter(F.col("label") == label).select("organization_id", F.col("id").alias("dst"))
+    return both.join(a, ["organization_id", "src"], "left_semi").join(b, ["organization_id", "dst"], "left_semi").select("organization_id", F.col("src").alias("id"), F.col("dst").alias("neighbour"))

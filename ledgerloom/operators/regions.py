@@ -50,23 +50,6 @@ def near_duplicates(regions: DataFrame, least_iou: float = 0.65, least_containme
     return met.select("doc_id", "suppressed", "kept", F.coalesce("rule", like).alias("rule")).filter("rule is not null")
 
 
-def label_values(regions: DataFrame, labels: str, most: int = 40) -> DataFrame:
-    """The value right of or below each label region on its page: best of alignment and distance, one per label.
-
-    Both searches are bounded (350 right, 80 down), so regions join on page and cells of that size."""
-    x = regions.filter("bbox is not null").select(*PAGE, "id", "bbox", F.trim("raw_ocr_output").alias("t")).filter("t <> ''")
-    lab = x.filter((F.length("t") <= most) & F.col("t").rlike(labels)).withColumn("cell", F.explode(F.sequence(F.floor((F.col("bbox.y1") - 200) / 200), F.floor((F.col("bbox.y2") + 280) / 200))))
-    val = x.withColumn("cell", F.floor(F.col("bbox.y1") / 200)).select(*PAGE, "cell", F.col("id").alias("value_id"), F.col("bbox").alias("v"), F.col("t").alias("value"))
-    p = lab.join(val, [*PAGE, "cell"]).filter("id <> value_id")
-    mid = lambda b: (b.y1 + b.y2) / 2.0
-    L, V = F.col("bbox"), F.col("v")
-    right = (F.abs(mid(L) - mid(V)) <= 30) & (V.x1 - L.x2).between(-10, 350)
-    below = (V.y1 - L.y2).between(-5, 80) & (F.abs(L.x1 - V.x1) <= 70)
-    score = F.when(right, F.lit(0.65) + 0.2 * (1 - F.greatest(F.lit(0), V.x1 - L.x2) / 350.0)).when(below, F.lit(0.6) + 0.2 * (1 - F.greatest(F.lit(0), V.y1 - L.y2) / 80.0))
-    w = Window.partitionBy(*PAGE, "id").orderBy(F.desc("score"), "value_id")
-    return p.withColumn("score", F.round(score, 4)).filter("score >= 0.55").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(*PAGE, "id", "value_id", "score")
-
-
 def table_rows(regions: DataFrame) -> DataFrame:
     """Cells of pipe tables below their heading: doc_id, id, line_no, cells."""
     x = regions.filter(F.col("raw_ocr_output").contains("|")).select("doc_id", "id", F.posexplode(F.split("raw_ocr_output", "\r?\n")).alias("line_no", "line"))
@@ -84,20 +67,23 @@ def page_texts(regions: DataFrame) -> DataFrame:
 
 
 def page_summary(regions: DataFrame) -> DataFrame:
-    return regions.groupBy(*PAGE).agg(F.count("*").alias("regions"), F.count_if(F.col("processing_status") == "COMPLETED").alias("completed"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    """Regions of each page by outcome, their mean confidence and the span of their arrival in seconds."""
+    state = lambda v: F.count_if(F.col("processing_status") == v).alias(v.lower())
+    seconds = (F.unix_micros(F.max("ingested_at")) - F.unix_micros(F.min("ingested_at"))) / 1_000_000
+    return regions.groupBy(*PAGE).agg(F.count("*").alias("regions"), state("COMPLETED"), state("FAILED"), state("SKIPPED"), F.round(F.avg("confidence"), 6).alias("confidence"), seconds.alias("seconds"))
 
 
-def merge_rows(regions: DataFrame, tolerance: int = 12) -> DataFrame:
-    """Visual rows: regions of a page from top to bottom, a new row where the top moves more than the tolerance
-    beyond the running row's. Depends on the order, so pages are walked one by one."""
+def merge_rows(regions: DataFrame, least: float = 12.0, share: float = 0.6) -> DataFrame:
+    """Visual rows: regions of a page from top to bottom; one joins the running row if its top lies within
+    ``least``, or within ``share`` of the lower height, of the row's. Depends on the order, so pages are walked one by one."""
 
     def each(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        out, row, top = [], 0, None
-        for i, y in sorted(zip(pdf.id, pdf.y1), key=lambda r: (r[1], r[0])):
-            if top is None or y - top > tolerance:
-                row, top = row + 1, y
+        out, row, top, height = [], 0, None, 0
+        for i, y, h in sorted(zip(pdf.id, pdf.y1, pdf.h), key=lambda r: (r[1], r[0])):
+            if top is None or y - top > max(least, share * min(h, height)):
+                row, top, height = row + 1, y, h
             out.append((key[0], int(key[1]), i, row))
         return out
 
-    x = regions.filter("bbox is not null and page_number is not null").select(*PAGE, "id", F.col("bbox.y1").alias("y1"))
+    x = regions.filter("bbox is not null and page_number is not null").select(*PAGE, "id", F.col("bbox.y1").alias("y1"), (F.col("bbox.y2") - F.col("bbox.y1")).alias("h"))
     return by_group(x, PAGE, ["y1"], each, "doc_id string, page_number int, id string, row int")

@@ -31,19 +31,28 @@ def dense_embedding(sparse: DataFrame, id_col: str, size: int = 128) -> DataFram
     return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
-def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int = 10, block: int = 1024, batch: int = 16384) -> DataFrame:
-    """query, id, score, place: the k nearest rows by cosine for each query, itself left out.
+def metadata_filter(df: DataFrame, wanted: dict[str, str], column: str = "metadata") -> DataFrame:
+    """Rows whose metadata do not contradict: a key that is absent says nothing."""
+    for k, v in wanted.items():
+        df = df.filter(~F.coalesce(F.map_contains_key(column, F.lit(k)), F.lit(False)) | (F.try_element_at(column, F.lit(k)) == v))
+    return df
+
+
+def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int = 10, block: int = 1024, batch: int = 16384, scope: str | None = None, positive: bool = False) -> DataFrame:
+    """query, id, score, place: the k nearest rows by cosine for each query, itself left out. ``scope`` keeps to rows
+    with the query's value in that column, ``positive`` to scores above 0.
 
     A stated query set against all rows, in blocks: rows fall into batches and queries into blocks of
     bounded size, each batch meets each block in one matrix product and keeps k + 1 per query; the
     final top-k works on those alone. Both sides are copied once per opposite block, never per row."""
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("qv")).filter("qv is not null")
-    x = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v is not null")
+    own = F.lit("").alias("scope") if scope is None else F.col(scope).alias("scope")
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("qv"), own).filter("qv is not null")
+    x = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own).filter("v is not null")
     blocks, batches = max(1, -(-q.count() // block)), max(1, -(-x.count() // batch))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = x.withColumn("batch", part("id", batches)).withColumn("block", every(blocks)).groupBy("batch", "block")
-    right = q.withColumn("block", part("query", blocks)).withColumn("batch", every(batches)).groupBy("batch", "block")
+    left = x.withColumn("batch", part("id", batches)).withColumn("block", every(blocks)).groupBy("scope", "batch", "block")
+    right = q.withColumn("block", part("query", blocks)).withColumn("batch", every(batches)).groupBy("scope", "batch", "block")
 
     def unit(vectors: pd.Series) -> np.ndarray:
         m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -53,28 +62,48 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int
         if not len(a) or not len(b):
             return pd.DataFrame({"query": b["query"][:0], "id": a["id"][:0], "score": np.zeros(0)})
         ids, s = a.id.to_numpy(), unit(b.qv) @ unit(a.v).T
-        out = []
+        if len(ids) > k + 1:  # the (k + 1)-th best score bounds what has to be sorted; ties with it stay in
+            bound = np.partition(np.round(s, 6), len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+        else:
+            bound = np.full(len(s), -np.inf)
+        keys, found, scores = [], [], []
         for i, key in enumerate(b["query"]):
-            order = np.lexsort((ids, -np.round(s[i], 6)))[: k + 1]
-            out.append(pd.DataFrame({"query": key, "id": ids[order], "score": s[i][order]}))
-        return pd.concat(out, ignore_index=True)
+            near = np.flatnonzero(np.round(s[i], 6) >= bound[i])
+            order = near[np.lexsort((ids[near], -np.round(s[i][near], 6)))[: k + 1]]
+            keys += [key] * len(order)
+            found.append(ids[order])
+            scores.append(s[i][order])
+        return pd.DataFrame({"query": keys, "id": np.concatenate(found), "score": np.concatenate(scores)})
 
     kind = rows.schema[id_col].dataType.simpleString()
     best = left.cogroup(right).applyInPandas(meet, f"query {kind}, id {kind}, score double").filter("query <> id")
+    if positive:
+        best = best.filter(F.round("score", 6) > 0)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "id")
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query", "id", F.round("score", 4).alias("score"), "place")
 
 
+def evidence(hits: DataFrame, chunks: DataFrame, length: int = 120) -> DataFrame:
+    """Hits that have a place on a page: after the k nearest are taken, those without a box are dropped."""
+    c = chunks.select(F.col("chunk_id").alias("id"), "document_id", "page_number", "bbox", F.concat_ws(": ", "chunk_type", F.substring("text", 1, length)).alias("context"))
+    return hits.join(c, "id").filter("bbox is not null").select("query", "id", "document_id", "page_number", "score", "place", "context")
+
+
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """New chunks replace old ones of their id; within a batch the first delivered wins."""
-    w = Window.partitionBy("chunk_id").orderBy("ingested_at")
+    w = Window.partitionBy("chunk_id").orderBy("ingested_at", *[F.col(c) for c in new.columns if c not in ("ingested_at", "chunk_id", "metadata")])
     first = new.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
     return old.join(first.select("chunk_id"), "chunk_id", "left_anti").unionByName(first)
 
 
 def region_chunks(regions: DataFrame) -> DataFrame:
+    """A chunk of every region with text, and one of each page's whole text in reading order."""
     text = F.trim(F.coalesce(F.nullif(F.trim("clean_content"), F.lit("")), F.col("raw_ocr_output")))
-    return regions.withColumn("t", text).filter("t <> ''").select(F.concat_ws("_", "doc_id", "id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "page_number", F.lit("DOCUMENT_TEXT").alias("chunk_type"), F.length("t").alias("length"))
+    x = regions.withColumn("t", text).filter("t <> ''")
+    own = x.select(F.concat_ws("_", "doc_id", "id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "page_number", F.lit("DOCUMENT_TEXT").alias("chunk_type"), F.col("t").alias("text"))
+    whole = x.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("reading_order", "id", "t"))).alias("r")).filter("page_number is not null")
+    page = whole.select(F.concat(F.col("doc_id"), F.lit("_p"), F.col("page_number").cast("string"), F.lit("_page")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "page_number", F.lit("DOCUMENT_PAGE").alias("chunk_type"), F.array_join(F.transform("r", lambda y: y.t), "\n").alias("text"))
+    return own.unionByName(page)
 
 
 def line_chunks(lines: DataFrame) -> DataFrame:

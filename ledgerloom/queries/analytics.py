@@ -15,7 +15,6 @@ from ledgerloom.sources.sinks import markdown
 AS_OF = "2026-06-30"
 PERIOD_A, PERIOD_B = ("2025-01-01", "2025-03-31"), ("2025-04-01", "2025-06-30")
 SPEND, LINK_I, LINK_O = "vendor_id invoice_date total_amount", "vendor_id po_number total_amount", "vendor_id po_number total_amount ingested_at"
-LABELS = "(?i)^[a-z ]+:?$"
 
 
 def _get(name: str):
@@ -54,9 +53,9 @@ def vendor_overview(spark: SparkSession, sf: str) -> DataFrame:
     return x.fillna(0, ["invoices", "orders", "aliases"])
 
 
-def invoices_without_lines(spark: SparkSession, sf: str) -> DataFrame:
-    held = _lines(spark, sf, "invoice_id").select("organization_id", F.col("invoice_id").alias("id"))
-    return _inv(spark, sf).join(held, ["organization_id", "id"], "left_anti")
+def orders_without_invoice(spark: SparkSession, sf: str) -> DataFrame:
+    named = _inv(spark, sf, "po_number").select("organization_id", F.trim("po_number").alias("key"))
+    return _po(spark, sf, "po_number").withColumn("key", F.trim("po_number")).join(named, ["organization_id", "key"], "left_anti").select("organization_id", "id")
 
 
 def organizations(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,15 +104,11 @@ def printed_amounts(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("id", money(tx.normalize_amount(F.col("raw_value"))).alias("amount"), money(F.col("field_value").try_cast("decimal(18,2)")).alias("stored"))
 
 
-def extracted_values(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.same_region(_fields(spark, sf, "document_id page_number original_text").filter("original_text is not null"), "document_id", ["page_number", "id"], "original_text")
-
-
 def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The 5 nearest chunks by hashed embedding for the query set of chunks (one in fifty by hash of id)."""
+    """The 5 nearest chunks by hashed embedding for every chunk whose id (a hexadecimal number) is divisible by 50."""
     x = table(spark, sf, "chunk").select("chunk_id", "text").distinct()
     dense = vectors.dense_embedding(vectors.sparse_embedding(x, "chunk_id", "text"), "chunk_id")
-    chosen = F.conv(F.substring(F.md5("chunk_id"), 1, 4), 16, 10).cast("int") % 50 == 0
+    chosen = F.conv(F.substring("chunk_id", -12, 12), 16, 10).cast("bigint") % 50 == 0
     return vectors.search(dense.filter(chosen), dense, "chunk_id", "embedding", 5)
 
 
@@ -145,12 +140,11 @@ QUERIES = {
     "dashboard": lambda s, d: records.dashboard(_inv(s, d, "payment_status po_number total_amount amount_due"), _po(s, d)),
     "invoice_overview": invoice_overview,
     "vendor_overview": vendor_overview,
-    "invoices_without_lines": invoices_without_lines,
+    "orders_without_invoice": orders_without_invoice,
     "organizations": organizations,
     "payments_per_invoice": payments_per_invoice,
     "link_orders": lambda s, d: records.link_orders(_inv(s, d, LINK_I), _po(s, d, LINK_O)),
     "latest_links": lambda s, d: records.latest_links(table(s, d, "document_link")),
-    "duplicate_invoices": lambda s, d: records.duplicate_invoices(_inv(s, d, "invoice_number vendor_id vendor_name_raw seq")),
     "amount_outliers": lambda s, d: records.amount_outliers(_inv(s, d, "vendor_id total_amount")),
     "history_outliers": lambda s, d: records.history_outliers(_inv(s, d, "vendor_id total_amount seq")),
     "resolve_vendors_exact": lambda s, d: records.resolve_exact(_inv(s, d, "vendor_name_normalized"), _vendors(s, d, "normalized_name"), _aliases(s, d, "vendor_id normalized_alias")),
@@ -164,24 +158,18 @@ QUERIES = {
     "printed_amounts": printed_amounts,
     "graph_stats": lambda s, d: graph.stats(*_graph(s, d)),
     "graph_stats_with_aliases": lambda s, d: graph.stats(*_graph(s, d, aliases=True)),
-    "shared_bank_accounts": lambda s, d: graph.shared_entities(*_graph(s, d), "Vendor", "BankAccount"),
     "ego_network": ego_network,
     "vendor_order_paths": vendor_order_paths,
     "text_embeddings": lambda s, d: vectors.sparse_embedding(table(s, d, "chunk").select("chunk_id", "text").distinct(), "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight")),
     "nearest_vectors": nearest_vectors,
-    "region_chunks": lambda s, d: vectors.region_chunks(_regions(s, d, "page_number clean_content raw_ocr_output")),
+    "region_chunks": lambda s, d: vectors.region_chunks(_regions(s, d, "page_number reading_order clean_content raw_ocr_output")),
     "line_chunks": lambda s, d: vectors.line_chunks(_lines(s, d, "description quantity unit_price total")),
     "reading_order": lambda s, d: regions.reading_order(_regions(s, d, "page_number reading_order bbox")),
-    "near_duplicate_regions": lambda s, d: regions.near_duplicates(_regions(s, d, "page_number region_type bbox confidence raw_ocr_output")),
-    "label_values": lambda s, d: regions.label_values(_regions(s, d, "page_number bbox raw_ocr_output"), LABELS),
     "table_rows": lambda s, d: regions.table_rows(_regions(s, d, "raw_ocr_output")),
     "page_texts": lambda s, d: regions.page_texts(_regions(s, d, "page_number reading_order raw_ocr_output")),
-    "page_summary": lambda s, d: regions.page_summary(_regions(s, d, "page_number processing_status confidence")),
+    "page_summary": lambda s, d: regions.page_summary(_regions(s, d, "page_number processing_status confidence ingested_at")),
     "visual_rows": lambda s, d: regions.merge_rows(_regions(s, d, "page_number bbox")),
     "document_markdown": lambda s, d: markdown(_regions(s, d, "page_number region_type reading_order raw_ocr_output")).select("doc_id", F.length("markdown").alias("length"), F.md5("markdown").alias("md5")),
-    "extracted_values": extracted_values,
-    "text_identifiers": lambda s, d: extraction.identifiers(_regions(s, d, "raw_ocr_output"), "doc_id", "raw_ocr_output"),
-    "plain_table_rows": lambda s, d: extraction.plain_rows(_regions(s, d, "raw_ocr_output"), "doc_id", "raw_ocr_output"),
     "chunk_search": chunk_search,
     "latest_invoices": latest_invoices,
     "unresolved_links": unresolved_links,
@@ -232,12 +220,11 @@ SQL = {
     "dashboard": _sql("inv po", "SELECT coalesce(i.organization_id, o.organization_id) AS organization_id, coalesce(invoices, 0) AS invoices, coalesce(paid, 0) AS paid, coalesce(open, 0) AS open, coalesce(without_po, 0) AS without_po, coalesce(spend, 0) AS spend, coalesce(outstanding, 0) AS outstanding, coalesce(orders, 0) AS orders FROM i FULL JOIN (SELECT organization_id, count(*) AS orders FROM po GROUP BY 1) o ON i.organization_id = o.organization_id", f"i AS (SELECT organization_id, count(*) AS invoices, count(*) FILTER (lower(payment_status) = 'paid') AS paid, count(*) FILTER ({_OPEN}) AS open, count(*) FILTER (po_number IS NULL) AS without_po, coalesce(sum(total_amount), 0)::DOUBLE AS spend, coalesce(sum(amount_due) FILTER ({_OPEN}), 0)::DOUBLE AS outstanding FROM inv GROUP BY 1)"),
     "invoice_overview": _sql("inv lin lnk fld", "SELECT i.organization_id, i.id, coalesce(lines, 0) AS lines, line_total, coalesce(links, 0) AS links, coalesce(fields, 0) AS fields FROM inv i LEFT JOIN (SELECT organization_id, invoice_id, count(*) AS lines, sum(total)::DOUBLE AS line_total FROM lin GROUP BY ALL) l ON l.organization_id = i.organization_id AND l.invoice_id = i.id LEFT JOIN (SELECT organization_id, source_id, count(*) AS links FROM lnk WHERE source_type = 'INVOICE' GROUP BY ALL) k ON k.organization_id = i.organization_id AND k.source_id = i.id LEFT JOIN (SELECT organization_id, document_id, count(*) AS fields FROM fld GROUP BY ALL) f ON f.organization_id = i.organization_id AND f.document_id = i.document_id"),
     "vendor_overview": _sql("ven inv po ali", "SELECT organization_id, id, (SELECT count(*) FROM inv i WHERE i.organization_id = v.organization_id AND i.vendor_id = v.id) AS invoices, (SELECT count(*) FROM po p WHERE p.organization_id = v.organization_id AND p.vendor_id = v.id) AS orders, (SELECT count(*) FROM ali a WHERE a.organization_id = v.organization_id AND a.vendor_id = v.id) AS aliases FROM ven v"),
-    "invoices_without_lines": _sql("inv lin", "SELECT organization_id, id FROM inv i WHERE NOT EXISTS (SELECT 1 FROM lin l WHERE l.organization_id = i.organization_id AND l.invoice_id = i.id)"),
+    "orders_without_invoice": _sql("po inv", "SELECT organization_id, id FROM po WHERE NOT EXISTS (SELECT 1 FROM inv WHERE inv.organization_id = po.organization_id AND trim(inv.po_number) = trim(po.po_number))"),
     "organizations": "SELECT organization_id FROM vendor UNION SELECT organization_id FROM invoice UNION SELECT organization_id FROM purchase_order UNION SELECT organization_id FROM document_link",
     "payments_per_invoice": _sql("inv lnk", "SELECT i.organization_id, i.id, count(DISTINCT l.source_id) AS payments FROM inv i JOIN lnk l ON l.organization_id = i.organization_id AND l.target_id = i.id WHERE l.link_type = 'PAYMENT_TO_INVOICE' GROUP BY ALL"),
     "link_orders": _sql("inv po", "SELECT i.organization_id, i.id AS invoice_id, f.id AS po_id, (i.total_amount - f.total_amount)::DOUBLE AS difference, i.vendor_id <> f.vendor_id AS other_vendor FROM inv i LEFT JOIN f ON f.organization_id = i.organization_id AND f.k = trim(i.po_number) WHERE trim(i.po_number) <> ''", "f AS (SELECT *, trim(po_number) AS k FROM po WHERE trim(po_number) <> '' QUALIFY row_number() OVER (PARTITION BY organization_id, trim(po_number) ORDER BY ingested_at, id) = 1)"),
     "latest_links": "SELECT organization_id, link_type, source_type, source_id, target_id, arg_max(id, row(ingested_at, id)) AS id, arg_max(status, row(ingested_at, id)) AS status FROM document_link GROUP BY ALL",
-    "duplicate_invoices": _sql("inv", "SELECT b.organization_id, b.id AS duplicate_id, arg_min(a.id, row(a.seq, a.id)) AS original_id FROM inv b JOIN inv a ON a.organization_id = b.organization_id AND a.invoice_number = b.invoice_number AND row(a.seq, a.id) < row(b.seq, b.id) AND (a.vendor_id = b.vendor_id OR trim(lower(a.vendor_name_raw)) = trim(lower(b.vendor_name_raw))) GROUP BY 1, 2"),
     "amount_outliers": _sql("inv", "SELECT organization_id, id, n AS sample, CASE WHEN z_score > 0 THEN 'HIGH' ELSE 'LOW' END AS kind, z_score FROM (SELECT *, round((a - mean) / sqrt(greatest(0.0, (s2 - a * a - n * mean * mean) / (n - 1))), 2) AS z_score FROM (SELECT *, (s1 - a) / n AS mean FROM (SELECT x.*, count(*) OVER w - 1 AS n, sum(a) OVER w AS s1, sum(a * a) OVER w AS s2 FROM x WINDOW w AS (PARTITION BY organization_id, vendor_id))) WHERE n >= 5 AND greatest(0.0, (s2 - a * a - n * mean * mean) / (n - 1)) > 0) WHERE abs(z_score) > 2.5", "x AS (SELECT organization_id, vendor_id, id, total_amount::DOUBLE AS a FROM inv WHERE vendor_id IS NOT NULL AND total_amount IS NOT NULL)"),
     "history_outliers": _sql("inv", "SELECT organization_id, id, n AS sample, round((a - mean) / sd, 2) AS z_score FROM (SELECT organization_id, id, total_amount::DOUBLE AS a, count(total_amount) OVER w AS n, avg(total_amount::DOUBLE) OVER w AS mean, stddev_samp(total_amount::DOUBLE) OVER w AS sd FROM inv WHERE vendor_id IS NOT NULL AND total_amount IS NOT NULL WINDOW w AS (PARTITION BY organization_id, vendor_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 5 AND sd > 0 AND abs(round((a - mean) / sd, 2)) > 2.5"),
     "resolve_vendors_exact": _sql("inv ven ali", "SELECT i.organization_id, i.id, coalesce(v.vid, a.vid) AS vendor_id, CASE WHEN v.vid IS NOT NULL THEN 'NORMALIZED_NAME' WHEN a.vid IS NOT NULL THEN 'ALIAS' ELSE 'NEW_VENDOR' END AS match_type FROM inv i LEFT JOIN (SELECT organization_id, normalized_name AS k, min(id) AS vid FROM ven GROUP BY ALL) v ON v.organization_id = i.organization_id AND v.k = i.vendor_name_normalized LEFT JOIN (SELECT organization_id, normalized_alias AS k, min(vendor_id) AS vid FROM ali WHERE vendor_id IS NOT NULL GROUP BY ALL) a ON a.organization_id = i.organization_id AND a.k = i.vendor_name_normalized WHERE i.vendor_name_normalized IS NOT NULL"),
@@ -247,21 +234,19 @@ SQL = {
     "normalized_vendors": _sql("ven", "SELECT organization_id, id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))), '\\b(private|limited|pvt|ltd|llp|llc|inc|corp|corporation|co|company|gmbh)\\b\\.?', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM ven"),
     "tax_id_status": _sql("ven", f"SELECT organization_id, id, CASE WHEN s IS NULL THEN NULL WHEN NOT regexp_full_match(s, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]') THEN 'format' WHEN NOT (try_cast(s[1:2] AS INT) BETWEEN 1 AND 38 OR try_cast(s[1:2] AS INT) IN (97, 99)) THEN 'state' WHEN s[15] <> substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((36 - list_sum(list_transform(range(1, 15), lambda i: (instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) // 36 + ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 36)) % 36) % 36 + 1)::INT, 1) THEN 'checksum' ELSE 'ok' END AS status FROM (SELECT organization_id, id, {_TAX} AS s FROM ven WHERE tax_id IS NOT NULL)"),
     "graph_stats": _sql("ven inv po lnk", "SELECT organization_id, label AS kind, count(*) AS n, 'node' AS what FROM nodes GROUP BY ALL UNION ALL SELECT organization_id, relation, count(*), 'edge' FROM edges GROUP BY ALL", _GRAPH),
-    "shared_bank_accounts": _sql("ven inv po lnk", "SELECT b.organization_id, b.dst AS target_id, count(*) AS entities, min(b.src) AS first_entity FROM bothways b JOIN nodes s ON s.organization_id = b.organization_id AND s.id = b.src AND s.label = 'Vendor' JOIN nodes t ON t.organization_id = b.organization_id AND t.id = b.dst AND t.label = 'BankAccount' GROUP BY ALL HAVING count(*) >= 2", _GRAPH),
     "ego_network": _sql("ven inv po lnk", "SELECT organization_id, root, distance, count(*) AS nodes FROM (SELECT organization_id, root, node, min(d) AS distance FROM walk GROUP BY ALL) GROUP BY ALL", _GRAPH + ", walk AS (SELECT organization_id, id AS root, id AS node, 0 AS d FROM nodes WHERE label = 'PurchaseOrder' UNION SELECT w.organization_id, root, dst, d + 1 FROM walk w JOIN bothways b ON b.organization_id = w.organization_id AND b.src = w.node WHERE d < 2)"),
     "vendor_order_paths": _sql("ven inv po lnk", "SELECT w.organization_id, array_to_string(path, '>') AS path FROM walk w JOIN nodes n ON n.organization_id = w.organization_id AND n.id = w.tip AND n.label = 'PurchaseOrder' WHERE len(path) > 1", _GRAPH + ", walk AS (SELECT organization_id, id AS tip, [id] AS path FROM nodes WHERE label = 'Vendor' UNION ALL SELECT w.organization_id, e.dst, list_append(path, e.dst) FROM walk w JOIN (SELECT DISTINCT organization_id, src, dst FROM edges) e ON e.organization_id = w.organization_id AND e.src = w.tip WHERE len(path) <= 3 AND NOT list_contains(path, e.dst))"),
     "text_embeddings": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL) SELECT chunk_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS weight FROM b",
     "nearest_vectors": "WITH s AS (SELECT q.vec_id AS query, x.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 10",
-    "region_chunks": _sql("reg", "SELECT doc_id || '_' || id AS chunk_id, doc_id AS document_id, page_number, 'DOCUMENT_TEXT' AS chunk_type, length(t) AS length FROM (SELECT *, trim(coalesce(nullif(trim(clean_content), ''), raw_ocr_output)) AS t FROM reg) WHERE t <> ''"),
+    "region_chunks": _sql("reg", "SELECT doc_id || '_' || id AS chunk_id, doc_id AS document_id, page_number, 'DOCUMENT_TEXT' AS chunk_type, t AS text FROM x UNION ALL SELECT doc_id || '_p' || page_number || '_page', doc_id, page_number, 'DOCUMENT_PAGE', string_agg(t, E'\n' ORDER BY reading_order NULLS FIRST, id) FROM x WHERE page_number IS NOT NULL GROUP BY ALL", "x AS (SELECT * FROM (SELECT *, trim(coalesce(nullif(trim(clean_content), ''), raw_ocr_output)) AS t FROM reg) WHERE t <> '')"),
     "line_chunks": _sql("lin", "SELECT 'line_' || id AS chunk_id, organization_id, text FROM (SELECT *, concat_ws(' | ', description, 'Qty: ' || quantity::VARCHAR, 'Unit Price: ' || unit_price::VARCHAR, 'Total: ' || total::VARCHAR) AS text FROM lin) WHERE text <> ''"),
     "reading_order": _sql("reg", "SELECT doc_id, page_number, id, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY CASE WHEN usable THEN reading_order ELSE (floor(bbox.y1 / 40))::INT END NULLS FIRST, CASE WHEN usable THEN 0 ELSE bbox.x1 END NULLS FIRST, id) AS place FROM (SELECT *, (SELECT count(DISTINCT reading_order) = count(*) AND min(reading_order) >= 1 FROM reg s WHERE s.doc_id = r.doc_id AND s.page_number = r.page_number) AS usable FROM reg r)"),
     "table_rows": _sql("reg", "SELECT doc_id, id, line_no, len(c) AS cells, c[1] AS description, try_cast(c[2] AS DOUBLE) AS quantity, try_cast(c[3] AS DOUBLE) AS rate FROM (SELECT doc_id, id, line_no, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(x)) AS c FROM (SELECT doc_id, id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, id, regexp_split_to_array(raw_ocr_output, '\\r?\\n') AS l FROM reg WHERE contains(raw_ocr_output, '|'))) WHERE regexp_matches(line, '^\\s*\\|.*\\|\\s*$') AND NOT regexp_matches(line, '^[\\s|:-]+$') AND NOT regexp_matches(lower(line), 'description|qty|quantity|rate|amount'))"),
     "page_texts": _sql("reg", "SELECT doc_id, page_number, count(*) AS regions, md5(string_agg(trim(raw_ocr_output), E'\\n\\n' ORDER BY reading_order NULLS FIRST, id)) AS text_md5 FROM reg WHERE raw_ocr_output IS NOT NULL GROUP BY ALL"),
-    "page_summary": _sql("reg", "SELECT doc_id, page_number, count(*) AS regions, count(*) FILTER (processing_status = 'COMPLETED') AS completed, round(avg(confidence), 6) AS confidence FROM reg GROUP BY ALL"),
+    "page_summary": "SELECT doc_id, page_number, count(*) AS regions, count_if(processing_status = 'COMPLETED') AS completed, count_if(processing_status = 'FAILED') AS failed, count_if(processing_status = 'SKIPPED') AS skipped, round(avg(confidence), 6) AS confidence, (epoch_us(max(ingested_at)) - epoch_us(min(ingested_at))) / 1000000 AS seconds FROM (SELECT DISTINCT doc_id, id, page_number, processing_status, confidence, ingested_at FROM page_region) GROUP BY 1, 2",
     "document_markdown": _sql("reg", "SELECT doc_id, length(m) AS length, md5(m) AS md5 FROM (SELECT doc_id, string_agg(m, E'\\n\\n' ORDER BY page_number) AS m FROM (SELECT doc_id, page_number, '<!-- Page ' || page_number || E' -->\\n\\n' || string_agg(CASE WHEN region_type = 'title' THEN '# ' || t WHEN region_type IN ('header', 'footer') THEN '*' || t || '*' WHEN region_type = 'list' THEN regexp_replace(t, '(?m)^', '- ', 'g') ELSE t END, E'\\n\\n' ORDER BY reading_order, id) AS m FROM (SELECT *, trim(raw_ocr_output) AS t FROM reg) WHERE t <> '' GROUP BY doc_id, page_number) GROUP BY doc_id)"),
     "printed_amounts": _sql("fld", "SELECT id, CASE WHEN european THEN try_cast(replace(replace(n, '.', ''), ',', '.') AS DECIMAL(18, 2)) ELSE try_cast(replace(n, ',', '') AS DECIMAL(18, 2)) END::DOUBLE AS amount, try_cast(field_value AS DECIMAL(18, 2))::DOUBLE AS stored FROM (SELECT *, contains(n, ',') AND ((contains(n, '.') AND strpos(reverse(n), ',') < strpos(reverse(n), '.')) OR (NOT contains(n, '.') AND regexp_full_match(n, '-?[0-9]+,[0-9]{1,2}'))) AS european FROM (SELECT id, field_value, regexp_replace(regexp_extract(lower(raw_value), '(-?[0-9][0-9.,]*)', 1), '[.,]+$', '') AS n FROM fld WHERE field_name = 'total_amount'))"),
-    "extracted_values": _sql("fld", "SELECT document_id, field, arg_min(value, row(page_number, id)) AS value, arg_min(id, row(page_number, id)) AS id FROM (SELECT document_id, page_number, id, unnest([" + ", ".join(f"{{'field': '{f}', 'value': nullif(regexp_replace(regexp_extract(original_text, '(?i)\\b{a}[ \\t]*[:.]?[ \\t]*\\n?[ \\t]*{b}', 1), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'), '')}}" for f, (a, b) in extraction.FIELDS.items()) + "], recursive := true) FROM fld WHERE original_text IS NOT NULL) WHERE value IS NOT NULL GROUP BY ALL"),
-    "chunk_search": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL), e AS (SELECT chunk_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM b), s AS (SELECT q.chunk_id AS query, x.chunk_id AS id, sum(q.w * x.w) AS s FROM e q JOIN e x ON q.bucket = x.bucket AND q.chunk_id <> x.chunk_id WHERE ('0x' || substr(md5(q.chunk_id), 1, 4))::INT % 50 = 0 GROUP BY ALL) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 5",
+    "chunk_search": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL), e AS (SELECT chunk_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM b), s AS (SELECT q.chunk_id AS query, x.chunk_id AS id, sum(q.w * x.w) AS s FROM e q JOIN e x ON q.bucket = x.bucket AND q.chunk_id <> x.chunk_id WHERE ('0x' || right(q.chunk_id, 12))::BIGINT % 50 = 0 GROUP BY ALL) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 5",
     "latest_invoices": _sql("inv", f"SELECT organization_id, id, invoice_date, place FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY invoice_date DESC, id) AS place FROM inv WHERE invoice_date BETWEEN '{PERIOD_A[0]}' AND '{PERIOD_B[1]}') WHERE place <= 100"),
     "unresolved_links": _sql("lnk", "SELECT organization_id, link_type, count(*) AS links FROM lnk WHERE upper(status) = 'UNRESOLVED' GROUP BY ALL"),
     "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_second, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",

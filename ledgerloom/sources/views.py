@@ -77,7 +77,7 @@ def printed_invoices(invoices: DataFrame, vendors: DataFrame, lines: DataFrame)
         ("due_label", "text", (60, 220, 180, 250), label("Due Date:", "due_date"), 0.95), ("due_value", "text", (200, 222, 340, 252), day("due_date", "dd/MM/yyyy"), 0.95), ("bill_to", "text", (60, 270, 500, 330), F.concat(F.lit("Bill To:\nBranch of "), "organization_id"), 0.95),
         ("lines", "table", (60, 360, 1150, 900), _pipe_table(F.col("rows")), 0.9), ("sub_label", "text", (700, 920, 850, 950), label("Sub Total", "subtotal"), 0.95), ("sub_value", "text", (880, 922, 1100, 950), amount("subtotal"), 0.95),
         ("total_label", "text", (700, 980, 850, 1010), label("Grand Total:", "total_amount"), 0.95), ("total_value", "text", (705, 1030, 900, 1060), amount("total_amount"), 0.95),
-        ("pieces", "text", (60, 1100, 400, 1240), F.concat_ws("\n", first.description, first.total, first.quantity, first.rate), 0.9), ("bank", "footer", (60, 1500, 900, 1540), F.concat_ws(" ", said("IFSC: ", F.col("ifsc_swift")), said("Account No: ", F.regexp_replace("bank_account", "[^0-9]", ""))), 0.9),
+        ("pieces", "text", (60, 1100, 400, 1240), F.concat_ws("\n", first.description, first.total, first.quantity, first.rate), 0.9), ("plain", "text", (60, 1260, 1150, 1480), F.array_join(F.transform("rows", lambda r: F.concat_ws("  ", r.description, r.quantity, r.rate, r.total)), "\n"), 0.9), ("bank", "footer", (60, 1500, 900, 1540), F.concat_ws(" ", said("IFSC: ", F.col("ifsc_swift")), said("Account No: ", F.regexp_replace("bank_account", "[^0-9]", ""))), 0.9),
     ])
 
 
