@@ -26,8 +26,12 @@ def normalize_description(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(c), r"[^a-z0-9]", " "))
 
 
+# Labels before tax numbers.
+TAX_LABELS = r"GSTIN|GST\s*NO|GST-NO|GST|VAT|TAX\s*ID"
+
+
 def normalize_tax_id(c: Column) -> Column:
-    s = F.regexp_replace(F.upper(c), r"^\s*(?:GSTIN|GST\s*NO|GST-NO|GST|VAT|TAX\s*ID)\s*[:.#-]*\s*", "")
+    s = F.regexp_replace(F.upper(c), rf"^\s*(?:{TAX_LABELS})\s*[:.#-]*\s*", "")
     return F.nullif(F.regexp_replace(s, r"[\s.-]", ""), F.lit(""))
 
 
@@ -62,7 +66,7 @@ def words(c: Column) -> Column:
 
 
 def token_set_similarity(a: Column, b: Column) -> Column:
-    """Shared words: 0.7 + 0.3 x share of the larger set if one holds the other, else Jaccard."""
+    """Shared words: 0.7 + 0.3 x share of the larger set if one holds the other (fixed values), else Jaccard."""
     x, y = words(a), words(b)
     both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))

@@ -1,42 +1,15 @@
-"""Field extraction from region texts: label and value in one region, identifiers, plain-text table rows."""
+"""Formats of identifiers in texts, and rows of tables printed as plain text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fields in order with the label pattern and the value pattern behind it.
-FIELDS = {
-    "invoice_number": (r"(?:invoice|document|bill)\s*(?:no\.?|number|#)", r"([A-Z0-9][A-Z0-9/-]{2,})"),
-    "po_number": (r"(?:p\.?o\.?|purchase\s+order)\s*(?:no\.?|number|#)", r"([A-Z0-9][A-Z0-9/-]{2,})"),
-    "invoice_date": (r"invoice\s+date", r"([^\n]{4,40})"),
-    "due_date": (r"(?:payment\s+)?due\s+date", r"([^\n]{4,40})"),
-    "total_amount": (r"(?:grand\s+)?total(?:\s+amount)?", r"((?:₹|rs\.?|inr|usd|eur|\$|€)?\s*[0-9][0-9.,]*)"),
-}
+# The formats of Indian tax numbers and bank codes.
 GSTIN = r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])\b"
 IFSC = r"\b([A-Z]{4}0[A-Z0-9]{6})\b"
-EMAIL = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
-
-
-def after_label(text: Column, label: str, value: str) -> Column:
-    """The value behind a label in the same text, on its line or the next; null if there is none."""
-    found = F.regexp_extract(text, rf"(?i)\b{label}[ \t]*[:.]?[ \t]*\n?[ \t]*{value}", 1)
-    return F.nullif(F.regexp_replace(found, r"^[\s\u00a0]+|[\s\u00a0]+$", ""), F.lit(""))
-
-
-def same_region(regions: DataFrame, doc: str, order: list[str], text: str) -> DataFrame:
-    """doc, field, value, id: for each document and field the value of the first region, in order, that has one."""
-    found = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), after_label(F.col(text), *p).alias("value")) for f, p in FIELDS.items()]), lambda x: x.value.isNotNull())
-    x = regions.select(doc, *order, F.inline(found))
-    return x.groupBy(doc, "field").agg(F.min_by(F.struct("value", F.col(order[-1]).alias("id")), F.struct(*order)).alias("v")).select(doc, "field", "v.value", "v.id")
-
-
-def identifiers(regions: DataFrame, doc: str, text: str) -> DataFrame:
-    """Every tax number, bank code and mail address in the text, once per document."""
-    kinds = {"gstin": GSTIN, "ifsc": IFSC, "email": EMAIL}
-    named = lambda k: lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
-    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), 1), named(k)) for k, p in kinds.items()]))
-    return regions.select(doc, F.inline(hits)).distinct()
+#: A mail address: no blanks or brackets, one @, a domain that ends in letters.
+EMAIL = r"([^\s@<>()\[\],;:]+@[^\s@<>()\[\],;:]+\.\p{L}{2,})"
 
 
 def plain_rows(regions: DataFrame, doc: str, text: str) -> DataFrame:

@@ -85,9 +85,10 @@ def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Nodes with their attributes (a map): later values win key by key, attributes only the older has stay."""
     key = ["organization_id", "id"]
     x = old.select(*key, F.lit(0).alias("o"), "label", "attributes").unionByName(new.select(*key, F.lit(1).alias("o"), "label", "attributes"))
-    entries = F.array_sort(F.collect_list(F.struct("o", "attributes")))
-    merged = F.aggregate(F.transform(entries, lambda e: e.attributes), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda a, m: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(m, k)), m))
-    return x.groupBy(*key).agg(F.max_by("label", "o").alias("label"), merged.alias("attributes"))
+    none = F.create_map().cast("map<string,string>")
+    side = lambda o: F.coalesce(F.first(F.when(F.col("o") == o, F.col("attributes")), ignorenulls=True), none)
+    y = x.groupBy(*key).agg(F.max_by("label", "o").alias("label"), side(0).alias("a"), side(1).alias("b"))
+    return y.select(*key, "label", F.map_concat(F.map_filter("a", lambda k, v: ~F.map_contains_key("b", k)), "b").alias("attributes"))
 
 
 def reference_edges(links: DataFrame) -> DataFrame:

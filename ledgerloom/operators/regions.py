@@ -50,6 +50,30 @@ def near_duplicates(regions: DataFrame, least_iou: float = 0.65, least_containme
     return met.select("doc_id", "suppressed", "kept", F.coalesce("rule", like).alias("rule")).filter("rule is not null")
 
 
+def suppressed(pairs: DataFrame) -> DataFrame:
+    """doc_id, id: the regions that go. A region that goes itself suppresses no other, so a chain of near duplicates
+    loses every second one; pairs run from surer to less sure regions, so there are no rings."""
+
+    def each(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        over: dict[str, list[str]] = {}
+        for kept, gone in zip(pdf.kept, pdf.suppressed):
+            over.setdefault(gone, []).append(kept)
+        gone: dict[str, bool] = {}
+        for start in sorted(over):
+            stack = [start]
+            while stack:
+                i = stack[-1]
+                open_ = [k for k in over.get(i, ()) if k not in gone]
+                if open_:
+                    stack += open_
+                else:
+                    gone[i] = any(not gone[k] for k in over.get(i, ()))
+                    stack.pop()
+        return [(key[0], i) for i in sorted(over) if gone[i]]
+
+    return by_group(pairs.select("doc_id", "kept", "suppressed").distinct(), ["doc_id"], ["kept"], each, "doc_id string, id string")
+
+
 def table_rows(regions: DataFrame) -> DataFrame:
     """Cells of pipe tables below their heading: doc_id, id, line_no, cells."""
     x = regions.filter(F.col("raw_ocr_output").contains("|")).select("doc_id", "id", F.posexplode(F.split("raw_ocr_output", "\r?\n")).alias("line_no", "line"))

@@ -44,6 +44,7 @@ QUERIES = {
     "order_documents": lambda s, d: docs.order_fields(_orders(s, d)),
     "printed_documents": printed_documents,
     "printed_duplicates": lambda s, d: reg.near_duplicates(_pages(s, d)),
+    "printed_suppressed": lambda s, d: reg.suppressed(reg.near_duplicates(_pages(s, d))),
     "page_routes": lambda s, d: docs.page_routes(_supplied(s, d)),
     "region_kinds": lambda s, d: _supplied(s, d).groupBy(docs.region_kind(F.col("region_type")).alias("kind")).agg(F.count("*").alias("n"), F.count(docs.clamp_box(F.col("bbox"), 600, 800)).alias("on_page")),
     "record_currencies": lambda s, d: _inv(s, d, "currency").groupBy(docs.currency_of(F.col("currency")).alias("code")).agg(F.count("*").alias("n")),
@@ -101,6 +102,7 @@ SQL = {
       (SELECT *, len(k) AS n, CASE WHEN len(k) > 0 THEN round(list_sum(list_transform(k, lambda x: x.total::DOUBLE)), 2) END AS t FROM (SELECT *, list_filter(line_items, lambda x: x.quantity IS NOT NULL AND x.unit_price IS NOT NULL AND x.total IS NOT NULL) AS k FROM po)) po LEFT JOIN ven v ON v.organization_id = po.organization_id AND v.id = po.vendor_id"""),
     "printed_documents": _sql("inv ven lin", f"SELECT doc_id, 'INVOICE' AS document_type, {_NUMBER.format('num')} AS invoice_number, (SELECT count(*) FROM l WHERE l.doc_id = i.doc_id) AS rows, coalesce(total_amount, subtotal)::DOUBLE AS total, 'Branch of ' || organization_id AS buyer FROM i", _I + ", " + _L),
     "printed_duplicates": _sql("inv ven", "SELECT doc_id, 'numbers_again' AS suppressed, 'numbers' AS kept, 'exact_duplicate_with_spatial_proximity' AS rule FROM i WHERE num IS NOT NULL OR invoice_date IS NOT NULL OR po IS NOT NULL", _I),
+    "printed_suppressed": _sql("inv ven", "SELECT doc_id, 'numbers_again' AS id FROM i WHERE num IS NOT NULL OR invoice_date IS NOT NULL OR po IS NOT NULL", _I),
     "page_routes": _sql(
         "reg",
         "SELECT doc_id, page_number, regions, coverage, largest, CASE WHEN regions = 0 OR coverage < 0.4 THEN 'full_page' ELSE 'hybrid' END AS mode, CASE WHEN regions = 0 THEN 'no_layout_regions' WHEN coverage < 0.4 THEN 'low_layout_coverage' ELSE 'sufficient_layout_coverage' END AS reason FROM (SELECT n.doc_id, n.page_number, regions, coalesce(coverage, 0.0)::DOUBLE AS coverage, largest FROM n LEFT JOIN c USING (doc_id, page_number))",

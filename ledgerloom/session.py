@@ -20,14 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a single machine) a temporary folder is made,
-    set as the checkpoint folder and removed when the process ends.
+    Only where the session names none and runs on a single machine (tests) a temporary folder is made,
+    set as the checkpoint folder and removed when the process ends; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(own)
@@ -46,12 +48,6 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished jobs now: they go when the driver collects its garbage,
-    which an idle driver may put off until long after a following job has filled the disks."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def clear_stages(spark: SparkSession) -> int:
     """Deletes the stages this process has written; call it when their results are stored. Returns how many."""
     done = 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.sinks import upsert
@@ -28,14 +30,58 @@ def late_order_links(invoices: DataFrame, orders: DataFrame, delay: str = "30 da
     return i.join(o, on, "left_outer").select("organization_id", "invoice_id", "po_id")
 
 
-def upsert_batches(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row of each key. Each batch writes a new version folder and is
-    idempotent by its number: a replayed batch rewrites the same version from the one before."""
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number and content of the last complete manifest: part -> folder."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return 0, {}
+    found = sorted(n for f in fs.listStatus(p) if (n := f.getPath().getName()).startswith("manifest-") and not n.endswith(".tmp"))
+    if not found:
+        return 0, {}
+    text = "".join(r.value for r in spark.read.text(f"{path}/{found[-1]}").collect())  # one line a part at most
+    return int(found[-1].split("-")[1]), json.loads(text)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows an upserting sink holds, None before the first batch."""
+    _, held = _manifest(spark, path)
+    return spark.read.parquet(*held.values()) if held else None
+
+
+def upsert_batches(path: str, keys: list[str], order: str, parts: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the last row of each key. Rows lie in ``parts`` folders by hash of the key; a
+    batch reads and rewrites those it touches and then replaces the manifest that names the folders in force, so
+    a batch that fails leaves the state before it. Applying a batch twice changes nothing, whatever its number, so a
+    replay or a new checkpoint is safe. Folders no manifest names any longer are deleted."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/v{number:09d}"
-        state = upsert(spark.read.parquet(f"{path}/v{number - 1:09d}"), batch, keys, order) if number else upsert(batch.limit(0), batch, keys, order)
-        state.write.mode("overwrite").parquet(target)
+        last, held = _manifest(spark, path)
+        tagged = batch.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("string"))
+        touched = [r[0] for r in tagged.select("_part").distinct().collect()]  # ``parts`` at most
+        if not touched:
+            return
+        old = [held[p] for p in touched if p in held]
+        state = spark.read.parquet(*old) if old else batch.limit(0)
+        merged = upsert(state, batch, keys, order).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("string"))
+        folder = f"{path}/rows-{uuid.uuid4().hex}"
+        merged.write.partitionBy("_part").parquet(folder)
+        now = {**held, **{p: f"{folder}/_part={p}" for p in touched}}
+        fs, target = _fs(spark, f"{path}/manifest-{last + 1:012d}")
+        _, draft = _fs(spark, f"{path}/manifest-{last + 1:012d}.tmp")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        fs.rename(draft, target)
+        for p in touched:
+            if p in held:
+                fs.delete(_fs(spark, held[p])[1], True)
+        if last:
+            fs.delete(_fs(spark, f"{path}/manifest-{last:012d}")[1], False)
 
     return write
