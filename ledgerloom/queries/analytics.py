@@ -152,6 +152,7 @@ QUERIES = {
     "spend_drivers": lambda s, d: records.drivers(_lines(s, d, "invoice_id product_code quantity total"), _inv(s, d, "invoice_date"), "2025-03", "2025-04"),
     "best_evidence": lambda s, d: records.best_evidence(_fields(s, d, "document_id field_name confidence")),
     "order_line_matches": order_line_matches,
+    "order_line_matches_exact": lambda s, d: order_line_matches(s, d).filter("how <> 'SIMILAR'"),
     "name_likeness": name_likeness,
     "normalized_vendors": lambda s, d: _vendors(s, d, "canonical_name").select("organization_id", "id", tx.normalize_vendor(F.col("canonical_name")).alias("name")),
     "tax_id_status": lambda s, d: _vendors(s, d, "tax_id").filter("tax_id is not null").select("organization_id", "id", tx.gstin_status(F.col("tax_id")).alias("status")),
@@ -235,6 +236,27 @@ SQL = {
     "tax_id_status": _sql("ven", f"SELECT organization_id, id, CASE WHEN s IS NULL THEN NULL WHEN NOT regexp_full_match(s, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]') THEN 'format' WHEN NOT (try_cast(s[1:2] AS INT) BETWEEN 1 AND 38 OR try_cast(s[1:2] AS INT) IN (97, 99)) THEN 'state' WHEN s[15] <> substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((36 - list_sum(list_transform(range(1, 15), lambda i: (instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) // 36 + ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s[i]) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 36)) % 36) % 36 + 1)::INT, 1) THEN 'checksum' ELSE 'ok' END AS status FROM (SELECT organization_id, id, {_TAX} AS s FROM ven WHERE tax_id IS NOT NULL)"),
     "graph_stats": _sql("ven inv po lnk", "SELECT organization_id, label AS kind, count(*) AS n, 'node' AS what FROM nodes GROUP BY ALL UNION ALL SELECT organization_id, relation, count(*), 'edge' FROM edges GROUP BY ALL", _GRAPH),
     "ego_network": _sql("ven inv po lnk", "SELECT organization_id, root, distance, count(*) AS nodes FROM (SELECT organization_id, root, node, min(d) AS distance FROM walk GROUP BY ALL) GROUP BY ALL", _GRAPH + ", walk AS (SELECT organization_id, id AS root, id AS node, 0 AS d FROM nodes WHERE label = 'PurchaseOrder' UNION SELECT w.organization_id, root, dst, d + 1 FROM walk w JOIN bothways b ON b.organization_id = w.organization_id AND b.src = w.node WHERE d < 2)"),
+    "graph_stats_with_aliases": _sql("ven inv po lnk ali", "SELECT organization_id, label AS kind, count(*) AS n, 'node' AS what FROM nodes GROUP BY ALL UNION ALL SELECT organization_id, relation, count(*), 'edge' FROM edges GROUP BY ALL UNION ALL SELECT organization_id, 'VendorAlias', count(DISTINCT id), 'node' FROM held GROUP BY 1 UNION ALL SELECT organization_id, 'HAS_ALIAS', count(DISTINCT (vendor_id, id)), 'edge' FROM held GROUP BY 1", _GRAPH + ", held AS (SELECT * FROM ali WHERE (organization_id, vendor_id) IN (SELECT (organization_id, id) FROM ven))"),
+    "order_line_matches_exact": _sql(
+        "inv lin po",
+        """SELECT organization_id, invoice_id, a_id, b_id, 'CODE' AS how FROM by_code UNION ALL SELECT organization_id, invoice_id, a_id, b_id, 'DESCRIPTION' FROM by_text""",
+        """pf AS (SELECT organization_id, trim(po_number) AS key, id AS po_id, row_number() OVER (PARTITION BY organization_id, trim(po_number) ORDER BY ingested_at, id) AS rn FROM po WHERE trim(po_number) <> ''),
+        lk AS (SELECT i.organization_id, i.id AS invoice_id, p.po_id FROM inv i JOIN pf p ON p.rn = 1 AND p.organization_id = i.organization_id AND p.key = trim(i.po_number) WHERE trim(i.po_number) <> ''),
+        a AS (SELECT l.organization_id, l.invoice_id, l.id, product_code AS code, nullif(trim(regexp_replace(regexp_replace(lower(description), '[^a-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')), '') AS text FROM lin l JOIN lk USING (organization_id, invoice_id)),
+        b0 AS (SELECT organization_id, id AS po_id, unnest(line_items) AS x FROM po), b AS (SELECT b0.organization_id, lk.invoice_id, b0.po_id || '#' || x.line_number AS id, x.product_code AS code, nullif(trim(regexp_replace(regexp_replace(lower(x.description), '[^a-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')), '') AS text FROM b0 JOIN lk USING (organization_id, po_id)),
+        ac AS (SELECT *, row_number() OVER (PARTITION BY organization_id, invoice_id, code ORDER BY id) AS n FROM a WHERE code IS NOT NULL), bc AS (SELECT *, row_number() OVER (PARTITION BY organization_id, invoice_id, code ORDER BY id) AS n FROM b WHERE code IS NOT NULL),
+        by_code AS (SELECT ac.organization_id, ac.invoice_id, ac.id AS a_id, bc.id AS b_id FROM ac JOIN bc USING (organization_id, invoice_id, code, n)),
+        at_ AS (SELECT *, row_number() OVER (PARTITION BY organization_id, invoice_id, text ORDER BY id) AS n FROM a WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM by_code m WHERE m.organization_id = a.organization_id AND m.invoice_id = a.invoice_id AND m.a_id = a.id)),
+        bt AS (SELECT *, row_number() OVER (PARTITION BY organization_id, invoice_id, text ORDER BY id) AS n FROM b WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM by_code m WHERE m.organization_id = b.organization_id AND m.invoice_id = b.invoice_id AND m.b_id = b.id)),
+        by_text AS (SELECT at_.organization_id, at_.invoice_id, at_.id AS a_id, bt.id AS b_id FROM at_ JOIN bt USING (organization_id, invoice_id, text, n))""",
+    ),
+    "visual_rows": _sql(
+        "reg",
+        "SELECT doc_id, page_number, id, row AS row FROM walk",
+        """k AS (SELECT DISTINCT doc_id, page_number, id, bbox.y1 AS y1, bbox.y2 - bbox.y1 AS h FROM reg WHERE bbox IS NOT NULL AND page_number IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y1, id) AS n FROM k),
+        walk AS (SELECT doc_id, page_number, id, n, 1 AS row, y1 AS top, h FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.page_number, o.id, o.n, CASE WHEN o.y1 - w.top > greatest(12.0, 0.6 * least(o.h, w.h)) THEN w.row + 1 ELSE w.row END, CASE WHEN o.y1 - w.top > greatest(12.0, 0.6 * least(o.h, w.h)) THEN o.y1 ELSE w.top END, CASE WHEN o.y1 - w.top > greatest(12.0, 0.6 * least(o.h, w.h)) THEN o.h ELSE w.h END
+          FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.page_number = w.page_number AND o.n = w.n + 1)""",
+    ),
     "vendor_order_paths": _sql("ven inv po lnk", "SELECT w.organization_id, array_to_string(path, '>') AS path FROM walk w JOIN nodes n ON n.organization_id = w.organization_id AND n.id = w.tip AND n.label = 'PurchaseOrder' WHERE len(path) > 1", _GRAPH + ", walk AS (SELECT organization_id, id AS tip, [id] AS path FROM nodes WHERE label = 'Vendor' UNION ALL SELECT w.organization_id, e.dst, list_append(path, e.dst) FROM walk w JOIN (SELECT DISTINCT organization_id, src, dst FROM edges) e ON e.organization_id = w.organization_id AND e.src = w.tip WHERE len(path) <= 3 AND NOT list_contains(path, e.dst))"),
     "text_embeddings": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL) SELECT chunk_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS weight FROM b",
     "nearest_vectors": "WITH s AS (SELECT q.vec_id AS query, x.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 10",
