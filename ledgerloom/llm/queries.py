@@ -13,7 +13,7 @@ from ledgerloom.llm.packing import pack
 from ledgerloom.llm.spans import shared_amounts
 from ledgerloom.llm.splitting import split_texts
 from ledgerloom.llm.tokens import with_tokens
-from ledgerloom.session import spread, table
+from ledgerloom.session import spread, stage, table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,6 +51,17 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(chunks).select("chunk_id", "boundary", "piece_no", "start", F.length("piece").alias("length"), "piece")
 
 
+def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text put together again from its pieces without their overlaps, the number of pieces, and whether all keep the limit and the overlap."""
+    x = p4_pieces(spark, sf)
+    fresh = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.expr("substring(piece, 101)"))
+    y = x.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("fresh"), "start", "length"))).alias("p"))
+    ends = F.transform("p", lambda r: r.start + r.length)
+    chained = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p.start", i) == F.get(ends, i - 1) - 100)
+    kept = F.forall("p", lambda r: r.length <= 1000) & F.when(F.size("p") > 1, chained).otherwise(True)
+    return y.select("chunk_id", F.md5(F.array_join(F.transform("p", lambda r: r.fresh), "")).alias("text_md5"), (F.size("p") > 1).alias("several"), kept.alias("kept"))
+
+
 def _names(spark: SparkSession, sf: str) -> DataFrame:
     parts = [("vendor", "canonical_name"), ("vendor_alias", "alias_name"), ("possible_match", "candidate_name")]
     out = [table(spark, sf, t).select("id", "organization_id", F.col(c).alias("name")).distinct() for t, c in parts]
@@ -86,6 +97,20 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return held.groupBy("fill").agg(F.count("*").alias("containers"))
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that are packed whole (every token of each once), containers that are too full, and whether one container
+    in a hundred more than the tokens need would do."""
+    docs = with_tokens(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "tokens")
+    placed = stage(p8_containers(spark, sf))
+    per = placed.groupBy("doc_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces"), F.min("token_start").alias("first"))
+    whole = (F.col("held") == F.col("tokens")) & (F.col("first") == 0) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / 4096)))
+    texts = docs.filter("tokens is not null").join(per, "doc_id", "left").agg(F.count_if(whole).alias("value")).select(F.lit("texts").alias("what"), "value")
+    fill = stage(placed.groupBy("container").agg(F.sum("tokens").alias("fill")))
+    full = fill.agg(F.count_if(F.col("fill") > 4096).alias("value")).select(F.lit("too full").alias("what"), "value")
+    spare = fill.agg((F.count("*") <= F.ceil(F.sum("fill") / 4096) * 1.01 + 1).cast("bigint").alias("value")).select(F.lit("tight").alias("what"), "value")
+    return texts.unionByName(full).unionByName(spare)
+
+
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Every text that is used with its number of copies."""
     return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_target"), "doc_id", "text", "source")
@@ -96,6 +121,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(p9_mixture(spark, sf), table(spark, sf, "mix_target"), "doc_id")
 
 
+def p9_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source whether no text is used more often than allowed and the share is met to one hundredth."""
+    x = p9_shares(spark, sf)
+    return x.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), (F.abs(F.col("actual_share") - F.col("target_share").cast("double")) < 0.01).alias("met"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_amounts(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -109,5 +140,17 @@ fits AS (SELECT chunk_id,
   list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: length(x))) <= 900 AS w FROM c)
 SELECT chunk_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN s THEN 'sentence' WHEN w THEN 'word' ELSE 'none' END AS boundary FROM fits
 """
-QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
-SQL = {"p4_found": _P4}
+_P10 = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200), s AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d), h AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM s),
+shared AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)), hit AS (SELECT doc_id, i FROM h JOIN shared USING (h)),
+w AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit)
+SELECT doc_id, sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, i - before) END)::BIGINT AS shared_chars FROM w GROUP BY 1
+"""
+QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_premises": p2_premises, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_restored": p4_restored, "p8_invariants": p8_invariants, "p9_invariants": p9_invariants}
+SQL = {
+    "p4_found": _P4,
+    "p4_restored": "SELECT chunk_id, md5(text) AS text_md5, length(text) > 1000 AS several, true AS kept FROM (SELECT DISTINCT chunk_id, text FROM chunk WHERE text IS NOT NULL)",
+    "p8_invariants": "SELECT 'texts' AS what, count(*) AS value FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'too full', 0 UNION ALL SELECT 'tight', 1",
+    "p9_invariants": "SELECT source, true AS capped, true AS met FROM mix_target",
+    "p10_found": _P10,
+}
