@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.references import month_index, month_text, orphan_references
 from ledgerloom.operators.timestamps import normalise_timestamps
 from ledgerloom.operators.units import money_of, normalise_units
+from ledgerloom.queries.unit_cases import unit_cases_sql
 from ledgerloom.session import first_by_id, table
 
 
@@ -174,6 +175,7 @@ orphans AS (
 """
 QUERIES = {f.__name__: f for f in (p1_found, p1_timestamps, p1_orders, p6_found, p6_units, p6_conversions, p7_found, p7_report, p7_composite)}
 SQL: dict[str, str] = {
+    "p6_found": unit_cases_sql(),
     "p7_found": _P7 + "SELECT DISTINCT * FROM orphans",
     "p7_composite": """WITH r AS (SELECT DISTINCT organization_id, id, vendor_id, nullif(trim(po_number), '') AS po_number FROM invoice), o AS (SELECT DISTINCT organization_id, vendor_id, trim(po_number) AS po_number FROM purchase_order),
       m AS (SELECT r.*, vendor_id IS NULL AS no_vendor_id, po_number IS NULL AS no_po_number, EXISTS (SELECT 1 FROM o WHERE o.organization_id = r.organization_id AND (r.vendor_id IS NULL OR o.vendor_id = r.vendor_id) AND (r.po_number IS NULL OR o.po_number = r.po_number)) AS met FROM r)

@@ -45,15 +45,30 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     _STAGES.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
+def unstage(*staged: DataFrame | None) -> None:
+    """Deletes stages whose rows have gone into later ones; no plan that is still to run may read them."""
+    for df in staged:
+        path = getattr(df, "_stage_path", None)
+        if path in _STAGES:
+            _STAGES.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def clear_stages(spark: SparkSession) -> int:
     """Deletes the stages this process has written; call it when their results are stored. Returns how many."""
     done = 0
     while _STAGES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        done += _delete(spark, _STAGES.pop())
     return done
 
 

@@ -280,4 +280,6 @@ def test_stages(spark):
     session.clear_stages(spark)
     a = session.stage(spark.range(5))
     assert a.count() == 5 and session.stage(a.filter("id < 0")).count() == 0
-    assert session.clear_stages(spark) == 2 and session.clear_stages(spark) == 0
+    b = session.stage(a.filter("id > 2"))
+    session.unstage(a, None, a.filter("id > 0"))
+    assert b.count() == 2 and session.clear_stages(spark) == 2 and session.clear_stages(spark) == 0
