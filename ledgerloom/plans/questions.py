@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 from datetime import date
 from graphlib import CycleError, TopologicalSorter
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,10 +245,13 @@ def execute(plan: Plan, allowed: dict[str, Callable[..., DataFrame]], most_rows:
     except CycleError as e:
         return [StepResult(s.name, s.operation, None, [], f"cycle: {e.args[1]}", 0.0) for s in plan.steps]
     done: dict[str, StepResult] = {}
+    sc = SparkContext.getOrCreate()
+    groups = {s.name: f"step-{uuid.uuid4().hex}" for s in plan.steps}
 
     def one(step: Step) -> StepResult:
         began = time.time()
         try:
+            sc.setJobGroup(groups[step.name], step.operation, True)  # of this thread
             if step.operation not in allowed:
                 raise KeyError(f"no such operation: {step.operation}")
             bad = [n for n in step.needs if done[n].data is None]
@@ -266,6 +271,7 @@ def execute(plan: Plan, allowed: dict[str, Callable[..., DataFrame]], most_rows:
                     done[s.name] = run.result(timeout=seconds)
                 except Late:
                     run.cancel()
+                    sc.cancelJobGroup(groups[s.name])
                     done[s.name] = StepResult(s.name, s.operation, None, [], f"longer than {seconds} s", seconds * 1000)
                 order.done(s.name)
     return [done[s.name] for s in plan.steps]

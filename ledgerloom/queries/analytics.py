@@ -266,8 +266,13 @@ SQL = {
     "table_rows": _sql("reg", "SELECT doc_id, id, line_no, len(c) AS cells, c[1] AS description, try_cast(c[2] AS DOUBLE) AS quantity, try_cast(c[3] AS DOUBLE) AS rate FROM (SELECT doc_id, id, line_no, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(x)) AS c FROM (SELECT doc_id, id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, id, regexp_split_to_array(raw_ocr_output, '\\r?\\n') AS l FROM reg WHERE contains(raw_ocr_output, '|'))) WHERE regexp_matches(line, '^\\s*\\|.*\\|\\s*$') AND NOT regexp_matches(line, '^[\\s|:-]+$') AND NOT regexp_matches(lower(line), 'description|qty|quantity|rate|amount'))"),
     "page_texts": _sql("reg", "SELECT doc_id, page_number, count(*) AS regions, md5(string_agg(trim(raw_ocr_output), E'\\n\\n' ORDER BY reading_order NULLS FIRST, id)) AS text_md5 FROM reg WHERE raw_ocr_output IS NOT NULL GROUP BY ALL"),
     "page_summary": "SELECT doc_id, page_number, count(*) AS regions, count_if(processing_status = 'COMPLETED') AS completed, count_if(processing_status = 'FAILED') AS failed, count_if(processing_status = 'SKIPPED') AS skipped, round(avg(confidence), 6) AS confidence, (epoch_us(max(ingested_at)) - epoch_us(min(ingested_at))) / 1000000 AS seconds FROM (SELECT DISTINCT doc_id, id, page_number, processing_status, confidence, ingested_at FROM page_region) GROUP BY 1, 2",
-    "document_markdown": _sql("reg", "SELECT doc_id, length(m) AS length, md5(m) AS md5 FROM (SELECT doc_id, string_agg(m, E'\\n\\n' ORDER BY page_number) AS m FROM (SELECT doc_id, page_number, '<!-- Page ' || page_number || E' -->\\n\\n' || string_agg(CASE WHEN region_type = 'title' THEN '# ' || t WHEN region_type IN ('header', 'footer') THEN '*' || t || '*' WHEN region_type = 'list' THEN regexp_replace(t, '(?m)^', '- ', 'g') ELSE t END, E'\\n\\n' ORDER BY reading_order, id) AS m FROM (SELECT *, trim(raw_ocr_output) AS t FROM reg) WHERE t <> '' GROUP BY doc_id, page_number) GROUP BY doc_id)"),
-    "printed_amounts": _sql("fld", "SELECT id, CASE WHEN european THEN try_cast(replace(replace(n, '.', ''), ',', '.') AS DECIMAL(18, 2)) ELSE try_cast(replace(n, ',', '') AS DECIMAL(18, 2)) END::DOUBLE AS amount, try_cast(field_value AS DECIMAL(18, 2))::DOUBLE AS stored FROM (SELECT *, contains(n, ',') AND ((contains(n, '.') AND strpos(reverse(n), ',') < strpos(reverse(n), '.')) OR (NOT contains(n, '.') AND regexp_full_match(n, '-?[0-9]+,[0-9]{1,2}'))) AS european FROM (SELECT id, field_value, regexp_replace(regexp_extract(lower(raw_value), '(-?[0-9][0-9.,]*)', 1), '[.,]+$', '') AS n FROM fld WHERE field_name = 'total_amount'))"),
+    "document_markdown": _sql("reg", "SELECT doc_id, length(m) AS length, md5(m) AS md5 FROM (SELECT doc_id, string_agg(m, E'\\n\\n' ORDER BY page_number) AS m FROM (SELECT doc_id, page_number, '<!-- Page ' || page_number || E' -->\\n\\n' || string_agg(CASE WHEN region_type = 'title' THEN '# ' || t WHEN region_type IN ('header', 'footer') THEN '*' || t || '*' WHEN region_type = 'list' THEN regexp_replace(t, '(?m)^([^-*\\n]|$)', '- \\1', 'g') ELSE t END, E'\\n\\n' ORDER BY reading_order, id) AS m FROM (SELECT *, trim(raw_ocr_output) AS t FROM reg) WHERE t <> '' GROUP BY doc_id, page_number) GROUP BY doc_id)"),
+    "printed_amounts": _sql(
+        "fld",
+        """SELECT id, round_even(scale * CASE WHEN european THEN try_cast(replace(replace(n, '.', ''), ',', '.') AS DECIMAL(24, 6)) ELSE try_cast(replace(n, ',', '') AS DECIMAL(24, 6)) END, 2)::DOUBLE AS amount, try_cast(field_value AS DECIMAL(18, 2))::DOUBLE AS stored FROM (
+        SELECT *, contains(n, ',') AND ((contains(n, '.') AND strpos(reverse(n), ',') < strpos(reverse(n), '.')) OR (NOT contains(n, '.') AND regexp_full_match(n, '-?[0-9]+,[0-9]{1,2}'))) AS european FROM (
+        SELECT id, field_value, regexp_replace(regexp_extract(lower(raw_value), '(-?[0-9][0-9.,]*)', 1), '[.,]+$', '') AS n, CASE WHEN regexp_matches(lower(raw_value), '\\b(lakhs?|lacs?)\\b') THEN 100000 WHEN regexp_matches(lower(raw_value), '\\b(crores?|cr)\\b') THEN 10000000 ELSE 1 END AS scale FROM fld WHERE field_name = 'total_amount'))""",
+    ),
     "chunk_search": "WITH w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS word FROM (SELECT DISTINCT chunk_id, text FROM chunk)), t AS (SELECT chunk_id, word AS t, 1.0::DOUBLE AS w FROM w UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))), 0.35::DOUBLE FROM w WHERE length(word) >= 3), b AS (SELECT chunk_id, ('0x' || substr(md5(t), 31, 2))::INT % 128 AS bucket, sum(w) AS w FROM t GROUP BY ALL), e AS (SELECT chunk_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM b), s AS (SELECT q.chunk_id AS query, x.chunk_id AS id, sum(q.w * x.w) AS s FROM e q JOIN e x ON q.bucket = x.bucket AND q.chunk_id <> x.chunk_id WHERE ('0x' || right(q.chunk_id, 12))::BIGINT % 50 = 0 GROUP BY ALL) SELECT query, id, round(s, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, id) AS place FROM s) WHERE place <= 5",
     "latest_invoices": _sql("inv", f"SELECT organization_id, id, invoice_date, place FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY invoice_date DESC, id) AS place FROM inv WHERE invoice_date BETWEEN '{PERIOD_A[0]}' AND '{PERIOD_B[1]}') WHERE place <= 100"),
     "unresolved_links": _sql("lnk", "SELECT organization_id, link_type, count(*) AS links FROM lnk WHERE upper(status) = 'UNRESOLVED' GROUP BY ALL"),
