@@ -179,7 +179,9 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[t
         if held:
             yield close()
 
-    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # by a hash of the keys: a partitioning by the keys themselves is left out where a join before has the same, and adaptive
+    # execution may then make that a broadcast join, which keeps no partitioning
+    return spread(df, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def history_levels(records: DataFrame, source: list[str], factors: DataFrame, sigma: float = 0.05, tolerance: float = 0.02) -> DataFrame:

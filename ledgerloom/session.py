@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STAGES: list[str] = []
@@ -77,7 +77,7 @@ def fence(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*(columns or df.columns)))))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Even partitions ahead of work that costs far more than its bytes tell (Python on whole texts):
     adaptive execution would otherwise merge small partitions into one task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -65,5 +65,9 @@ def test_groups_over_many_batches(spark):
         got = {r.k: (r.n, r.total) for r in by_group(df, ["k"], ["v"], lambda key, pdf: [(int(key[0]), len(pdf), int(pdf.v.sum()))], "k int, n int, total int").collect()}
         assert got == {**{k: (12, sum(range(k, 60, 5))) for k in range(5)}, 9: (140, sum(range(60, 200)))}
         assert by_group(df, ["k"], ["v"], lambda key, pdf: [(int(key[0]),)], "k int", least=13).count() == 1 and by_group(df.limit(0), ["k"], [], lambda key, pdf: [(1,)], "k int").count() == 0
+        # after a join on the same keys, which becomes a broadcast join as it runs
+        held = spark.createDataFrame([(i,) for i in (1, 9)], "k int").repartition(3).distinct()
+        spread_out = df.repartition(16).groupBy("k", "v").agg(F.lit(1).alias("one")).join(held, ["k"], "left_semi")
+        assert sorted((r.k, r.n) for r in by_group(spread_out, ["k"], ["v"], lambda key, pdf: [(int(key[0]), len(pdf))], "k int, n int").collect()) == [(1, 12), (9, 140)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
