@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.operators.units import by_group
-from ledgerloom.session import stage
+from ledgerloom.session import stage, unstage
 
 _CHARS = 1_000_000
 
@@ -158,6 +158,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, k:
     anchors = anchors.filter("_lo < _hi")
     keyed = known.join(anchors, "anchor").select("anchor", "context", "lo", (F.col("lo") < F.col("hi")).alias("whole"), "_open", (F.col("_n") > group_limit).alias("large"))
     hits = stage(found.join(keyed, ["anchor", "context"]))
+    unstage(found)
     factors = hits.filter("whole").select("id", "start", (F.col("start") + F.col("starts") + F.lit(span - 1)).alias("end"))
 
     # boundaries: open phrases, and one holder of each whole phrase of the same anchor to compare with; a phrase
