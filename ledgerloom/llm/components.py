@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import stage
+from ledgerloom.session import stage, unstage
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -14,11 +14,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     one = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
     edges = stage(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = stage(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "vertex"))
+    held = labels
     while True:
         around = edges.join(labels, edges.dst == labels.vertex).groupBy("src").agg(F.min("label").alias("near"))
         lower = labels.join(around, labels.vertex == around.src, "left").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("vertex").alias("label"), F.col("label").alias("above"))
         new = stage(lower.join(up, "label", "left").select("vertex", "old", F.least("label", "above").alias("label")))
-        labels = new.select("vertex", "label")
+        unstage(held)
+        held, labels = new, new.select("vertex", "label")
         if new.filter("old <> label").isEmpty():
+            unstage(edges)
             return labels.select("vertex", F.col("label").alias("component"))

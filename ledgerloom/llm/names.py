@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.addresses import deletions, osa, plain
 from ledgerloom.llm.components import components
 from ledgerloom.operators.units import by_group
-from ledgerloom.session import spread, stage
+from ledgerloom.session import spread, stage, unstage
 
 # Legal forms with their spellings.
 FORMS = {"pvt": "private pvt", "ltd": "limited ltd", "llp": "llp", "llc": "llc", "inc": "inc incorporated", "gmbh": "gmbh", "corp": "corp corporation", "co": "co company", "ag": "ag", "plc": "plc"}
@@ -248,13 +248,14 @@ class Reader:
                     out["given"], out["said"] = {g}, {w}
                 else:
                     others.append(w)
-            if others and (out["given"] or initials):
+            if others and (out["given"] or (initials and len(others) == 1)):
                 out["kind"] = "person"
                 out["first"] = {g[0] for g in out["given"]} or set(initials[:1])
                 out["middle"] = set(initials if out["given"] else initials[1:])
                 rest = others
             else:
-                out["kind"], out["given"], out["said"] = "open", set(), set()
+                out["kind"], out["given"], out["said"], out["middle"] = "open", set(), set(), set(initials if others else ())
+                rest = others or rest
         core = "".join(rest)
         if not core:
             return None
@@ -311,7 +312,7 @@ def person_is(person: dict, other: dict) -> bool:
         for i, w in enumerate(words):
             left = words[:i] + words[i + 1 :]
             if len(left) == 1 and same_core({w}, person["cores"]):
-                if any(same_word(left[0], g) or short_form(left[0], g) for g in person["said"]) or (not person["said"] and left[0][0] in person["first"]):
+                if any(same_word(left[0], g) or short_form(left[0], g) for g in person["said"]) or ((not person["said"] or len(left[0]) == 1) and left[0][0] in person["first"]):
                     return True
     return False
 
@@ -325,6 +326,8 @@ def match(a: dict, b: dict) -> bool:
             if a[part] and b[part] and not a[part] & b[part]:
                 return False
         return same_core(a["cores"], b["cores"])
+    if a["kind"] in ("person", "open") and b["kind"] in ("person", "open") and a["middle"] and b["middle"] and not a["middle"] & b["middle"]:
+        return False
     if kinds == {"person", "open"}:
         return person_is(*((a, b) if a["kind"] == "person" else (b, a)))
     if "person" in kinds:
@@ -389,14 +392,21 @@ def agglomerate(items: list[tuple[str, dict]], loose: bool = False) -> list[tupl
     ``loose``: the group of a single word, in which two persons are not compared."""
     rich = lambda x: (x[1]["kind"] == "open", -len(x[1]["trades"]) - len(x[1]["given"]) - len(x[1]["middle"]) - len(x[1]["forms"]), x[0])
     clusters: list[tuple[list[str], dict]] = []
+    by_core: dict[str, list[int]] = {}  # clusters that have a core are looked up, so equal names do not meet all others
     for key, p in sorted(items, key=rich):
-        fits = [i for i, (_, c) in enumerate(clusters) if not (loose and c["kind"] == p["kind"] == "person") and match(c, p)]
-        if fits:
-            exact = [i for i in fits if clusters[i][1]["cores"] & p["cores"] and (clusters[i][1]["trades"] & p["trades"] or p["kind"] == "person")]
-            i = (exact or fits)[0]
-            clusters[i] = (clusters[i][0] + [key], unite(clusters[i][1], p))
-        else:
+        met = sorted({i for c in p["cores"] for i in by_core.get(c, ())})
+        fits = lambda i: not (loose and clusters[i][1]["kind"] == p["kind"] == "person") and match(clusters[i][1], p)  # noqa: B023, E731
+        at = next((i for i in met if (clusters[i][1]["trades"] & p["trades"] or p["kind"] == "person") and fits(i)), None)
+        if at is None:
+            at = next((i for i in range(len(clusters)) if fits(i)), None)
+        if at is None:
+            at = len(clusters)
             clusters.append(([key], p))
+        else:
+            clusters[at] = (clusters[at][0] + [key], unite(clusters[at][1], p))
+        for c in p["cores"]:
+            if at not in by_core.setdefault(c, []):
+                by_core[c].append(at)
     return clusters
 
 
@@ -458,10 +468,13 @@ def resolve(records: DataFrame, id_col: str, scope_col: str, name_col: str, labe
         merged = stage(by_group(grouped, ["component"], ["entity"], merge, "entity string, new string, united string"))
         if merged.filter("entity <> new").isEmpty():
             break
-        moves = stage(moves.join(merged.select("entity", "new"), "entity", "left").select("id", "scope", F.coalesce("new", "entity").alias("entity")))
+        before, moves = moves, stage(moves.join(merged.select("entity", "new"), "entity", "left").select("id", "scope", F.coalesce("new", "entity").alias("entity")))
         changed = now.drop("fresh", "e").join(merged, "entity", "left").select("scope", F.coalesce("new", "entity").alias("entity"), F.coalesce("united", "profile").alias("profile"), (F.col("united") != F.col("profile")).alias("other"))
-        held = new.drop("fresh") if held is None else stage(held.unionByName(new.drop("fresh")))
-        now = stage(changed.groupBy("scope", "entity", "profile").agg(F.coalesce(F.bool_or("other"), F.lit(False)).alias("fresh")).withColumn("e", F.xxhash64("entity")))
+        index, held = held, new.drop("fresh") if held is None else stage(held.unionByName(new.drop("fresh")))
+        if index is not None:
+            unstage(new)
+        old, now = now, stage(changed.groupBy("scope", "entity", "profile").agg(F.coalesce(F.bool_or("other"), F.lit(False)).alias("fresh")).withColumn("e", F.xxhash64("entity")))
+        unstage(old, links, merged, before)
     return moves.select(F.col("id").alias(id_col), F.col("scope").alias(scope_col), "entity").distinct()
 
 

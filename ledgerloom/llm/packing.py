@@ -85,8 +85,10 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 4096, buc
     if zero:
         slots.append((0, 0, zero - 1, 0, -(-zero // max(made, 1))))
     plan = items.sparkSession.createDataFrame(slots, PLAN)
+    if len(slots) <= 200_000:  # a size of rows that is seen here; a larger plan is joined by its size
+        plan = F.broadcast(plan)
     rank = F.col("offset") + F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("id", "piece_no")) - 1
     ranked = x.join(offsets, ["tokens", "bucket"]).withColumn("rank", rank)
-    taken = ranked.join(F.broadcast(plan), (F.col("tokens") == F.col("size")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
+    taken = ranked.join(plan, (F.col("tokens") == F.col("size")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("per_container")).cast("bigint")
     return taken.select(F.col("id").alias(id_col), F.col("piece_no").cast("int").alias("piece_no"), F.col("token_start").cast("bigint").alias("token_start"), "tokens", container.alias("container"))
