@@ -224,3 +224,14 @@ def test_running_lines_are_learned_and_rare_words_judged(spark):
     got = {r.id: [(f.line_no, f.fix) for f in r.fixes] for r in repaired(df, least_share=0.02).collect()}
     assert got["d0p1"] == [(0, "")] and got["one"] == [(0, "")] and got["loose"] == [(1, "")]
     assert got["bad"] == [(40, "zemblatorium")] and got["r0"] == []
+
+
+def test_python_runs_once_above_the_distinct(spark, small):
+    from ledgerloom.llm import queries
+    from ledgerloom.llm.addresses import parsed_addresses
+    from ledgerloom.session import spread, table
+
+    addresses = spread(table(spark, small, "vendor").select("address"), "address").distinct()
+    for df in (queries.p4_found(spark, small), parsed_addresses(addresses).filter("street is not null and number <> ''")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan and plan.index("MapInPandas") < plan.index("Aggregate")
